@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from satchel.functions import content as C, paths as P, rules as R
@@ -103,37 +104,63 @@ def prune_rowwise(
         ~R.excluded_with_ancestors(F.col("path"), F.col("is_dir"), rules, exclude_regex))
 
 
-def prune_by_rule_table(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """Exclusion when every corpus brings its own rules.
+@F.pandas_udf("regex string, negate boolean, dir_only boolean")
+def _translated(lines: pd.Series) -> pd.DataFrame:
+    rules = [R.translate(line) for line in lines]
+    return pd.DataFrame(
+        [(None, None, None) if r is None else (R.FLAGS + r.regex, r.negate, r.dir_only) for r in rules],
+        columns=["regex", "negate", "dir_only"],
+    )
+
+
+def rule_lists(lines: DataFrame) -> DataFrame:
+    """One row per corpus with its translated rules, last rule first.
+
+    The rules of a corpus come out of its own few ignore files, so a list is as
+    small as those files.  A malformed rule fails the job.
+    """
+    rules = lines.withColumn("r", _translated("pattern")).filter("r.regex IS NOT NULL")
+    ordered = F.sort_array(F.collect_list(F.struct("layer", "ordinal", "r")), asc=False)
+    return rules.groupBy("corpus").agg(F.transform(ordered, lambda x: x["r"]).alias("rules"))
 
-    ``rules``: ``corpus, position, regex, negate, dir_only``.  The join is an
-    equi-join on the corpus; distinct directories are tested, then files.
+
+def prune_by_rule_table(entries: DataFrame, lists: DataFrame) -> DataFrame:
+    """Exclusion when every corpus brings its own rules (see ``rule_lists``).
+
+    Each entry meets the list of its corpus in one row; nothing is multiplied by
+    the number of rules.
     """
 
-    def verdicts(paths: DataFrame) -> DataFrame:
-        hit = F.rlike(F.col("path"), F.col("regex")) & (F.col("is_dir") | ~F.col("dir_only"))
-        return (
-            paths.join(rules, "corpus")
-            .filter(hit)
-            .groupBy("corpus", "path")
-            .agg(F.max_by(~F.col("negate"), "position").alias("out"))
-            .filter("out")
+    def verdict(is_dir: Column) -> Column:
+        return F.coalesce(
+            F.aggregate(
+                F.filter(
+                    "rules",
+                    lambda r: F.rlike(F.col("path"), r["regex"]) & (is_dir | ~r["dir_only"])),
+                F.lit(None).cast("boolean"),
+                lambda acc, r: F.coalesce(acc, ~r["negate"]),
+            ),
+            F.lit(False),
         )
 
     dirs = directories(entries)
-    bad_dirs = verdicts(dirs.withColumn("is_dir", F.lit(True))).select("corpus", F.col("path").alias("above"))
+    bad = (
+        dirs.join(lists, "corpus", "left")
+        .filter(verdict(F.lit(True)))
+        .select("corpus", F.col("path").alias("above"))
+    )
     pruned = (
         dirs.select("corpus", "path", F.explode(P.ancestors("path", include_self=True)).alias("above"))
-        .join(bad_dirs, ["corpus", "above"], "left_semi")
+        .join(bad, ["corpus", "above"], "left_semi")
         .select("corpus", F.col("path").alias("__parent"))
         .distinct()
     )
-    bad_entries = verdicts(entries.select("corpus", "path", "is_dir")).select("corpus", "path")
     return (
-        entries.join(bad_entries, ["corpus", "path"], "left_anti")
+        entries.join(lists, "corpus", "left")
+        .filter(~verdict(F.col("is_dir")))
         .withColumn("__parent", P.parent("path"))
         .join(pruned, ["corpus", "__parent"], "left_anti")
-        .drop("__parent")
+        .drop("__parent", "rules")
     )
 
 
