@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from satchel.functions.binding import let
 from satchel.functions.paths import _c, extension
 
 # Fixed value: only this many leading bytes are looked at to classify a file.
@@ -145,11 +146,12 @@ def _strict_wide(body: Column, name: str) -> Column:
         body = F.unhex(F.regexp_replace(
             F.hex(body), "([0-9A-F]{2})([0-9A-F]{2})([0-9A-F]{2})([0-9A-F]{2})", "$4$3$2$1"))
         spark_name = "UTF-32"
-    text = F.decode(body, spark_name)
     units = F.length(body) % (4 if "32" in name else 2) == 0
     if "32" in name:
-        return F.when(units & ~F.contains(text, F.lit("�")), text)
-    return F.when(units & (F.encode(text, spark_name) == body), text)
+        good = lambda text: ~F.contains(text, F.lit("\ufffd"))
+    else:
+        good = lambda text: F.encode(text, spark_name) == body
+    return F.when(units, let(F.decode(body, spark_name), lambda text: F.when(good(text), text)))
 
 
 @F.pandas_udf(T.StringType())
@@ -172,22 +174,26 @@ def _codec_decode(body: pd.Series, enc: pd.Series) -> pd.Series:
 NATIVE = ("UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16BE", "UTF-16LE", "UTF-32BE", "UTF-32LE")
 
 
+def _after_bom(content: Column, enc: Column) -> Column:
+    skip = bom_length(F.when(bom_encoding(content).isNotNull(), enc))
+    return F.substring(content, skip + 1, F.length(content))
+
+
 def decode(df: DataFrame, content: str = "content", path: str = "path", rare_code_pages: bool = True) -> DataFrame:
     """Add ``encoding`` and ``text`` (null when the bytes are malformed).
 
     Only rows that declare a code page Spark does not know send bytes to Python.
     """
     c = F.col(content)
-    enc = encoding(c, path)
-    out = df.withColumn("encoding", enc)
-    body = F.substring(c, bom_length(F.when(bom_encoding(c).isNotNull(), F.col("encoding"))) + 1, F.length(c))
+    out = df.withColumn("encoding", encoding(c, path))
     native = F.col("encoding").isin(*NATIVE)
+    text = let(_after_bom(c, F.col("encoding")), lambda body: _native_decode(body, F.col("encoding")))
     if not rare_code_pages:
-        return out.withColumn("text", _native_decode(body, F.col("encoding")))
+        return out.withColumn("text", text)
     out = out.withColumn("__rare", F.when(~native, c))
     return (
         out.withColumn("__decoded", _codec_decode("__rare", F.when(~native, F.col("encoding"))))
-        .withColumn("text", F.when(native, _native_decode(body, F.col("encoding"))).otherwise(F.col("__decoded")))
+        .withColumn("text", F.when(native, text).otherwise(F.col("__decoded")))
         .drop("__rare", "__decoded")
     )
 
@@ -196,3 +202,22 @@ def capped_text(content: Column | str, limit: Column | int) -> Column:
     """The first ``limit`` bytes as text; a clipped last character becomes one U+FFFD."""
     n = F.lit(limit) if isinstance(limit, int) else limit
     return F.make_valid_utf8(F.substring(_c(content), F.lit(1), n.cast("int")).cast("string"))
+
+
+def capped_decode(content: Column | str, enc: Column, limit: Column) -> Column:
+    """Decode the first ``limit`` bytes; whatever the cut damages becomes U+FFFD."""
+    c = _c(content)
+    skip = bom_length(F.when(bom_encoding(c).isNotNull(), enc))
+    unit = F.when(enc.startswith("UTF-32"), F.lit(4)).when(enc.startswith("UTF-16"), F.lit(2)).otherwise(F.lit(1))
+
+    def lenient(body: Column) -> Column:
+        clipped = F.length(body) % unit
+        whole = F.substring(body, F.lit(1), F.length(body) - clipped)
+        damaged = F.when(clipped > 0, F.lit("\ufffd")).otherwise(F.lit(""))
+        plain = F.make_valid_utf8(body.cast("string"))
+        wide = let(whole, lambda w: F.concat(_native_decode(w, enc), damaged))
+        return F.when(enc == "UTF-8", plain).otherwise(F.coalesce(wide, plain))
+
+    cut = F.substring(c, F.lit(1), limit.cast("int"))
+    return F.when(limit < skip, F.make_valid_utf8(cut.cast("string"))).otherwise(
+        let(F.substring(cut, skip + 1, F.length(c)), lenient))

@@ -1,14 +1,19 @@
 """Spans inside a body, as arrays of structs; no UDF anywhere.
 
 A span is ``(rule_id, tier, start, length, value)`` with a 0-based character
-offset.  Matching, validation, overlap resolution, redaction and line numbers
-are all array expressions on the row that holds the body, so scanning never
-shuffles a body.
+offset.  Matching, validation, overlap resolution, redaction and line numbers are
+array expressions on the row that holds the body, so scanning never shuffles a
+body.
+
+The expressions are long, so they are composed as Spark SQL text: functions that
+start with ``_`` take and return SQL, the public ones wrap it in a Column.
+``_let`` binds a value to a name so that it is evaluated once.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import itertools
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -17,240 +22,259 @@ from satchel.functions.detectors import (
 )
 
 SPAN = "array<struct<rule_id:string,tier:int,start:int,length:int,value:string>>"
+_EMPTY = f"cast(array() as {SPAN})"
+_names = itertools.count()
+
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def _fresh(stem: str) -> str:
+    return f"{stem}{next(_names)}"
 
 
-def _empty() -> Column:
-    return F.array().cast(SPAN)
+def _let(value: str, body: Callable[[str], str]) -> str:
+    name = _fresh("x")
+    return f"element_at(transform(array({value}), {name} -> {body(name)}), 1)"
 
 
-def match_spans(text: Column, pattern: str, rule_id: str, tier: int, prefix: str = "") -> Column:
+def _matches(text: str, pattern: str, rule_id: str, tier: int, prefix: str = "") -> str:
     """All matches of one regex with their offsets.
 
     The text between matches comes from ``split``, the matches from
     ``regexp_extract_all``; adding up their lengths gives the offsets.
     """
+    p = _lit(pattern)
+    m = _fresh("m")
+    skip = f"length(regexp_extract({m}, {_lit(prefix)}, 0))" if prefix else "0"
+    span = (
+        f"({m}, at) -> named_struct('rule_id', {_lit(rule_id)}, 'tier', {tier}, 'start', int(at + {skip}), "
+        f"'length', length({m}) - {skip}, 'value', substr({m}, {skip} + 1))"
+    )
 
-    def located(found: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, -1), F.length)
-        zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("starts"))
-        sizes = F.zip_with(gaps, F.transform(found, F.length), lambda g, m: F.struct(g.alias("gap"), m.alias("len")))
-        starts = F.aggregate(
-            F.slice(sizes, F.lit(1), F.size(found)), zero,
-            lambda acc, s: F.struct(
-                (acc["pos"] + s["gap"] + s["len"]).alias("pos"),
-                F.concat(acc["starts"], F.array(acc["pos"] + s["gap"])).alias("starts")),
-            lambda acc: acc["starts"])
-
-        def span(m: Column, start: Column) -> Column:
-            skip = F.length(F.regexp_extract(m, prefix, 0)) if prefix else F.lit(0)
-            value = F.substring(m, skip + 1, F.length(m)) if prefix else m
-            return F.struct(
-                F.lit(rule_id).alias("rule_id"), F.lit(tier).alias("tier"),
-                (start + skip).cast("int").alias("start"), (F.length(m) - skip).alias("length"),
-                value.alias("value"))
-
-        return F.zip_with(found, starts, span)
+    def located(found: str) -> str:
+        starts = (
+            f"aggregate(slice(zip_with(split({text}, {p}, -1), {found}, (g, h) -> "
+            f"named_struct('gap', length(g), 'len', length(h))), 1, size({found})), "
+            "named_struct('pos', 0, 'starts', cast(array() as array<int>)), "
+            "(acc, s) -> named_struct('pos', acc.pos + s.gap + s.len, "
+            "'starts', concat(acc.starts, array(acc.pos + s.gap))), acc -> acc.starts)"
+        )
+        return f"CASE WHEN size({found}) > 0 THEN zip_with({found}, {starts}, {span}) ELSE {_EMPTY} END"
 
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return let(matches, lambda m: F.when(F.size(m) > 0, located(m)).otherwise(_empty()))
+    return _let(f"regexp_extract_all({text}, {p}, 0)", located)
 
 
 # ---- validators ----------------------------------------------------------
 
 
-def iban_valid(value: Column) -> Column:
+def _iban_valid(value: str) -> str:
     """The rearranged number leaves remainder 1 modulo 97."""
-    plain = F.replace(value, F.lit(" "), F.lit(""))
-    turned = F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4))
-    code = lambda ch: F.when(ch.between("0", "9"), F.ascii(ch) - 48).otherwise(F.ascii(ch) - 55)
-    remainder = F.aggregate(
-        F.filter(F.split(turned, ""), lambda ch: ch != ""), F.lit(0),
-        lambda acc, ch: F.when(code(ch) < 10, acc * 10 + code(ch)).otherwise(acc * 100 + code(ch)) % 97)
-    return F.length(plain).between(15, 34) & (remainder == 1)
-
+    code = "(CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)"
 
-def card_valid(value: Column) -> Column:
-    """13 to 19 digits, Luhn checksum, not all zeros."""
-    digits = F.regexp_replace(value, "[ -]", "")
-    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits) & ~F.rlike(digits, F.lit("^0+$"))
+    def check(plain: str) -> str:
+        turned = f"concat(substr({plain}, 5), substr({plain}, 1, 4))"
+        folded = (
+            f"aggregate(filter(split({turned}, ''), c -> c <> ''), 0, "
+            f"(acc, c) -> (CASE WHEN {code} < 10 THEN acc * 10 ELSE acc * 100 END + {code}) % 97)"
+        )
+        return f"(length({plain}) BETWEEN 15 AND 34 AND {folded} = 1)"
 
+    return _let(f"replace({value}, ' ', '')", check)
 
-def entropy(value: Column) -> Column:
-    """Shannon entropy in bits per character."""
 
+def _card_valid(value: str) -> str:
+    """13 to 19 digits, Luhn checksum, not all zeros."""
+    return _let(
+        f"translate({value}, ' -', '')",
+        lambda d: f"(length({d}) BETWEEN 13 AND 19 AND luhn_check({d}) AND NOT {d} RLIKE '^0+$')")
 
-    def bits(chars: Column) -> Column:
-        n = F.size(chars).cast("double")
-        counts = F.transform(
-            F.array_distinct(chars), lambda ch: F.size(F.filter(chars, lambda x: x == ch)) / n)
-        return F.aggregate(counts, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
 
-    return let(F.filter(F.split(value, ""), lambda ch: ch != ""), bits)
+def _entropy(value: str) -> str:
+    """Shannon entropy in bits per character."""
+    return _let(
+        f"filter(split({value}, ''), c -> c <> '')",
+        lambda cs: (
+            f"aggregate(transform(array_distinct({cs}), u -> size(filter({cs}, c -> c = u)) / size({cs})), "
+            "double(0), (acc, p) -> acc - p * log2(p))"))
 
 
 _VALID = {
-    "iban": iban_valid,
-    "payment-card": card_valid,
-    ENTROPY.rule_id: lambda v: entropy(v) > MIN_ENTROPY,
+    "iban": _iban_valid,
+    "payment-card": _card_valid,
+    ENTROPY.rule_id: lambda v: f"{_entropy(v)} > {MIN_ENTROPY}",
 }
 
 
 # ---- scanning ------------------------------------------------------------
 
 
-def _keep_valid(spans: Column, valid) -> Column:
-    return F.filter(spans, lambda s: valid(s["value"]))
-
-
-def _any_of(text: Column, literals: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in literals])
+def _any_of(text: str, literals: Sequence[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {_lit(x)})" for x in literals) + ")"
 
 
-def _detect(text: Column, gated: Column, d: Detector) -> Column:
-    spans = match_spans(text, d.pattern, d.rule_id, d.tier, d.prefix)
+def _detect(text: str, gated: str, d: Detector) -> str:
+    spans = _matches(text, d.pattern, d.rule_id, d.tier, d.prefix)
     if d.rule_id in _VALID:
-        spans = _keep_valid(spans, _VALID[d.rule_id])
-    if not d.gate:
-        return spans
-    return F.when(_any_of(gated, d.gate), spans).otherwise(_empty())
+        spans = f"filter({spans}, s -> {_VALID[d.rule_id]('s.value')})"
+    return f"CASE WHEN {_any_of(gated, d.gate)} THEN {spans} ELSE {_EMPTY} END" if d.gate else spans
 
 
-def automatic_spans(text: Column, scan_entropy: bool = False, allow: list[str] = ()) -> Column:
+def _automatic(text: str, scan_entropy: bool, allow: Sequence[str]) -> str:
     """Spans of every built-in rule, before overlaps are resolved."""
 
-    def family(name: str, gated: Column) -> Column:
-        return F.concat(*[_detect(text, gated, d) for d in DETECTORS if d.family == name])
-
-    marked = F.when(F.rlike(text, F.lit(MARKED_GATE)), family("marked", text))
-    assigned = F.when(
-        _any_of(text, ASSIGNMENT_GATE), let(F.lower(text), lambda low: family("assignment", low)))
-    found = F.concat(
-        marked.otherwise(_empty()), assigned.otherwise(_empty()), family("", text),
-        _detect(text, text, ENTROPY) if scan_entropy else _empty())
+    def family(name: str, gated: str) -> str:
+        return "concat(" + ", ".join(_detect(text, gated, d) for d in DETECTORS if d.family == name) + ")"
+
+    parts = [
+        f"CASE WHEN {text} RLIKE {_lit(MARKED_GATE)} THEN {family('marked', text)} ELSE {_EMPTY} END",
+        f"CASE WHEN {_any_of(text, ASSIGNMENT_GATE)} THEN "
+        + _let(f"lower({text})", lambda low: family("assignment", low)) + f" ELSE {_EMPTY} END",
+        family("", text),
+    ]
+    if scan_entropy:
+        parts.append(_detect(text, text, ENTROPY))
+    found = "concat(" + ", ".join(parts) + ")"
     if allow:
         # The allowlist looks at the detected value only.
-        found = F.filter(found, lambda s: ~reduce(
-            lambda a, b: a | b, [F.rlike(s["value"], F.lit(p)) for p in allow]))
+        hits = " OR ".join(f"s.value RLIKE {_lit(p)}" for p in allow)
+        found = f"filter({found}, s -> NOT ({hits}))"
     return found
 
 
-def custom_spans(text: Column, hide: list[str]) -> Column:
-    if not hide:
-        return _empty()
-    return F.concat(*[match_spans(text, p, CUSTOM_ID, CUSTOM) for p in hide])
+_AS_SPAN = (
+    "s -> named_struct('rule_id', s.rule_id, 'tier', s.tier, 'start', s.start, 'length', s.length, 'value', s.value)")
 
 
-def _by_start(spans: Column) -> Column:
-    """Start ascending, longer first, then rule id."""
-    key = lambda s: F.struct(
-        s["start"].alias("start"), (-s["length"]).alias("shorter"), s["rule_id"].alias("rule_id"),
-        s["tier"].alias("tier"), s["length"].alias("length"), s["value"].alias("value"))
-    return F.transform(F.array_sort(F.transform(spans, key)), lambda s: F.struct(
-        s["rule_id"].alias("rule_id"), s["tier"].alias("tier"), s["start"].alias("start"),
-        s["length"].alias("length"), s["value"].alias("value")))
+def _sorted(spans: str, first: Sequence[str]) -> str:
+    """Spans ordered by the named fields; ``shorter`` puts longer spans first."""
+    rest = [f for f in ("start", "shorter", "rule_id", "tier", "length", "value") if f not in first]
+    pairs = ", ".join(
+        f"'{f}', " + ("-s.length" if f == "shorter" else f"s.{f}") for f in (*first, *rest))
+    return f"transform(array_sort(transform({spans}, s -> named_struct({pairs}))), {_AS_SPAN})"
 
 
-def _if_several(spans: Column, body) -> Column:
+def _if_several(spans: str, body: Callable[[str], str]) -> str:
     """Most bodies hold at most one span; only the others need ``body``."""
-    return let(spans, lambda found: F.when(F.size(found) < 2, found).otherwise(body(found)))
+    return _let(spans, lambda x: f"CASE WHEN size({x}) < 2 THEN {x} ELSE {body(x)} END")
 
 
-def resolve_overlaps(spans: Column) -> Column:
+def _resolved(spans: str) -> str:
     """Among automatic spans the surer tier wins, then the earlier, then the longer."""
-    ranked = F.array_sort(F.transform(spans, lambda s: F.struct(
-        s["tier"].alias("tier"), s["start"].alias("start"), (-s["length"]).alias("shorter"),
-        s["rule_id"].alias("rule_id"), s["length"].alias("length"), s["value"].alias("value"))))
-
-    def clear(kept: Column, s: Column) -> Column:
-        return ~F.exists(kept, lambda k: (k["start"] < s["start"] + s["length"])
-                         & (s["start"] < k["start"] + k["length"]))
+    clear = "NOT exists(acc, k -> k.start < s.start + s.length AND s.start < k.start + k.length)"
+    return (
+        f"aggregate({_sorted(spans, ('tier', 'start', 'shorter'))}, {_EMPTY}, "
+        f"(acc, s) -> CASE WHEN {clear} THEN concat(acc, array(s)) ELSE acc END)")
 
-    as_span = lambda s: F.struct(
-        s["rule_id"].alias("rule_id"), s["tier"].alias("tier"), s["start"].alias("start"),
-        s["length"].alias("length"), s["value"].alias("value"))
-    kept = F.aggregate(ranked, _empty(), lambda acc, s: F.when(
-        clear(acc, s), F.concat(acc, F.array(as_span(s)))).otherwise(acc))
-    return kept
 
-
-def all_spans(text: Column, automatic: bool, scan_entropy: bool, allow: list[str], hide: list[str]) -> Column:
-    """Resolved automatic spans beside every custom span, in reading order."""
+def _all(text: str, automatic: bool, scan_entropy: bool, allow: Sequence[str], hide: Sequence[str]) -> str:
     parts = []
     if automatic:
-        parts.append(_if_several(automatic_spans(text, scan_entropy, allow), resolve_overlaps))
+        parts.append(_if_several(_automatic(text, scan_entropy, allow), _resolved))
     if hide:
-        parts.append(F.array_distinct(custom_spans(text, hide)))
+        found = ", ".join(_matches(text, p, CUSTOM_ID, CUSTOM) for p in hide)
+        parts.append(f"array_distinct(concat({found}))")
     if not parts:
-        return _empty()
-    spans = parts[0] if len(parts) == 1 else F.concat(*parts)
-    return _if_several(spans, _by_start)
+        return _EMPTY
+    joined = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
+    return _if_several(joined, lambda x: _sorted(x, ("start", "shorter", "rule_id")))
+
+
+def all_spans(text: str, automatic: bool = True, scan_entropy: bool = False,
+              allow: Sequence[str] = (), hide: Sequence[str] = ()) -> Column:
+    """Resolved automatic spans beside every custom span, in reading order.
+
+    ``text`` names a column.
+    """
+    return F.expr(_all(f"`{text}`", automatic, scan_entropy, allow, hide))
+
+
+def capped_spans(full: str, capped: str, shown: str) -> Column:
+    """Spans of the whole and of the capped body, clipped to what stays visible.
+
+    ``full`` and ``capped`` name span columns, ``shown`` the capped text.  A value
+    that crosses the cap is recognised in the whole body only, one that exists
+    only because of the cut in the capped body only; both must be hidden.
+    """
+
+    def union(visible: str) -> str:
+        clipped = (
+            f"transform(filter({full}, s -> s.start < {visible}), s -> named_struct('rule_id', s.rule_id, "
+            f"'tier', s.tier, 'start', s.start, 'length', least(s.length, {visible} - s.start), 'value', s.value))")
+        same = "s.start = c.start AND s.length = c.length AND s.rule_id = c.rule_id"
+        return _let(clipped, lambda x: _sorted(
+            f"concat({x}, filter({capped}, c -> NOT exists({x}, s -> {same})))", ("start", "shorter", "rule_id")))
+
+    return F.expr(_let(f"length({shown})", union))
 
 
 # ---- masking and redaction -----------------------------------------------
 
 
-def masked(rule_id: Column, value: Column, hide: list[str] = ()) -> Column:
+def masked_sql(rule_id: str, value: str, hide: Sequence[str] = ()) -> str:
     """A preview that never shows the value, and never a hidden part of it."""
-    n = F.length(value)
-    stars = lambda k: F.repeat(F.lit("*"), k.cast("int"))
-    domain = F.substring_index(value, "@", -1)
-    compact = F.regexp_replace(value, "[ -]", "")
-    last4 = F.substring(compact, -4, 4)
-    preview = (
-        F.when(rule_id == CUSTOM_ID, F.lit("********"))
-        .when(rule_id == "private-key", F.lit("[private key]"))
-        .when(rule_id == "email-address", F.concat(
-            F.substring(value, 1, 1), F.lit("***@"), F.substring(domain, 1, 1), F.lit("***."),
-            F.substring_index(domain, ".", -1)))
-        .when(rule_id == "payment-card", F.concat(F.lit("**** **** **** "), last4))
-        .when(rule_id == "iban", F.concat(F.lit("**** "), last4))
-        .when(rule_id == "phone-number", F.concat(F.lit("*** "), F.substring(compact, -2, 2)))
-        .when(rule_id.isin("common-password", "password-assignment"), F.concat(F.substring(value, 1, 1), stars(n - 1)))
-        .when(n >= 16, F.concat(F.substring(value, 1, 4), F.lit("********")))
-        .otherwise(F.lit("********"))
-    )
+    domain = f"substring_index({value}, '@', -1)"
+    compact = f"translate({value}, ' -', '')"
+    preview = f"""CASE
+      WHEN {rule_id} = {_lit(CUSTOM_ID)} THEN '********'
+      WHEN {rule_id} = 'private-key' THEN '[private key]'
+      WHEN {rule_id} = 'email-address' THEN concat(left({value}, 1), '***@', left({domain}, 1), '***.',
+        substring_index({domain}, '.', -1))
+      WHEN {rule_id} = 'payment-card' THEN concat('**** **** **** ', right({compact}, 4))
+      WHEN {rule_id} = 'iban' THEN concat('**** ', right({compact}, 4))
+      WHEN {rule_id} = 'phone-number' THEN concat('*** ', right({compact}, 2))
+      WHEN {rule_id} IN ('common-password', 'password-assignment')
+        THEN concat(left({value}, 1), repeat('*', length({value}) - 1))
+      WHEN length({value}) >= 16 THEN concat(left({value}, 4), '********')
+      ELSE '********' END"""
     for pattern in hide:
-        preview = F.regexp_replace(preview, pattern, "***")
+        preview = f"regexp_replace({preview}, {_lit(pattern)}, '***')"
     return preview
 
 
-def merged(spans: Column) -> Column:
+def masked(rule_id: str, value: str, hide: Sequence[str] = ()) -> Column:
+    return F.expr(masked_sql(rule_id, value, hide))
+
+
+def report(findings: str, text: str, names: dict[str, str], hide: Sequence[str] = ()) -> Column:
+    """Findings as they may be shown: rule, place and masked preview."""
+    labels = "map(" + ", ".join(_lit(x) for pair in names.items() for x in pair) + ")"
+    return F.expr(
+        f"transform({findings}, s -> named_struct('rule_id', s.rule_id, 'rule_name', {labels}[s.rule_id], "
+        f"'tier', s.tier, 'start', s.start, 'length', s.length, "
+        f"'line', size(split(substr({text}, 1, s.start), '\\\\r\\\\n|\\\\r|\\\\n', -1)), "
+        f"'preview', {masked_sql('s.rule_id', 's.value', hide)}, 'always_redact', s.tier = {CUSTOM}))")
+
+
+def _merged(spans: str) -> str:
     """Union of overlapping spans, in order; the surest rule names the union."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
-        s["start"].alias("start"), (s["start"] + s["length"]).alias("end"),
-        s["tier"].alias("tier"), s["rule_id"].alias("rule_id"))))
     kind = "array<struct<start:int,end:int,tier:int,rule_id:string>>"
-    # A custom span names the union when it is the only or the first one.
-    head_of = lambda acc: F.slice(acc, F.lit(1), F.size(acc) - 1)
-    last = lambda acc: F.element_at(acc, -1)
-
-    def join(acc: Column, s: Column) -> Column:
-        prev = last(acc)
-        surer = s["tier"] < prev["tier"]
-        return F.concat(head_of(acc), F.array(F.struct(
-            prev["start"].alias("start"), F.greatest(prev["end"], s["end"]).alias("end"),
-            F.least(prev["tier"], s["tier"]).alias("tier"),
-            F.when(surer, s["rule_id"]).otherwise(prev["rule_id"]).alias("rule_id"))))
-
-    return F.aggregate(ordered, F.array().cast(kind), lambda acc, s: F.when(
-        (F.size(acc) > 0) & (s["start"] < last(acc)["end"]), join(acc, s)
-    ).otherwise(F.concat(acc, F.array(s))))
-
-
-def redacted(text: Column, spans: Column) -> Column:
-    """Every span becomes ``[REDACTED:rule-id]``; overlapping spans become one label."""
-
-    def rebuilt(unions: Column) -> Column:
-        starts_at = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(unions, i - 1)["end"])
-        piece = lambda u, i: F.concat(
-            F.substring(text, starts_at(i) + 1, u["start"] - starts_at(i)),
-            F.lit("[REDACTED:"), u["rule_id"], F.lit("]"))
-        tail = F.substring(text, F.element_at(unions, -1)["end"] + 1, F.length(text))
-        return F.concat(F.array_join(F.transform(unions, piece), ""), tail)
-
-    return F.when(F.size(spans) == 0, text).otherwise(let(merged(spans), rebuilt))
+    ordered = (
+        f"array_sort(transform({spans}, s -> named_struct('start', s.start, 'end', s.start + s.length, "
+        "'tier', s.tier, 'rule_id', s.rule_id)))")
+    last = "element_at(acc, -1)"
+    joined = (
+        f"concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', {last}.start, "
+        f"'end', greatest({last}.end, s.end), 'tier', least({last}.tier, s.tier), "
+        f"'rule_id', CASE WHEN s.tier < {last}.tier THEN s.rule_id ELSE {last}.rule_id END)))")
+    return (
+        f"aggregate({ordered}, cast(array() as {kind}), (acc, s) -> CASE WHEN size(acc) > 0 "
+        f"AND s.start < {last}.end THEN {joined} ELSE concat(acc, array(s)) END)")
+
+
+def redacted(text: str, spans: str) -> Column:
+    """Every span becomes ``[REDACTED:rule-id]``; overlapping spans become one label.
+
+    ``text`` names a column, ``spans`` is SQL for an array of spans.
+    """
+
+    def rebuilt(u: str) -> str:
+        before = f"CASE WHEN i = 0 THEN 0 ELSE get({u}, i - 1).end END"
+        piece = (
+            f"(v, i) -> concat(substr({text}, ({before}) + 1, v.start - ({before})), '[REDACTED:', v.rule_id, ']')")
+        tail = f"substr({text}, element_at({u}, -1).end + 1)"
+        return f"concat(array_join(transform({u}, {piece}), ''), {tail})"
+
+    return F.expr(
+        f"CASE WHEN size({spans}) = 0 THEN {text} ELSE {_let(_merged(spans), rebuilt)} END")

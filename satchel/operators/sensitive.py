@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from satchel.functions import spans as S, text as X
+from satchel.functions.binding import let
 from satchel.functions.detectors import CUSTOM, CUSTOM_NAME, CUSTOM_ID, DETECTORS, ENTROPY, HIGH, check_patterns
 from satchel.functions.paths import path_key
 from satchel.plans.settings import RunSettings
@@ -23,24 +24,21 @@ def scan(files: DataFrame, settings: RunSettings = RunSettings(), text: str = "c
     if not automatic and not hide:
         return files.withColumn("findings", F.array().cast(S.SPAN))
     return files.withColumn("findings", S.all_spans(
-        F.col(text), automatic, settings.scan_entropy, allow, hide))
+        text, automatic, settings.scan_entropy, allow, hide))
+
+
+def report(settings: RunSettings, findings: str = "findings", text: str = "content") -> Column:
+    """Findings as they may be shown: rule, place, masked preview; never the value."""
+    return S.report(findings, text, _NAMES, settings.hide_patterns)
 
 
 def finding_rows(scanned: DataFrame, settings: RunSettings = RunSettings(), text: str = "content") -> DataFrame:
-    """One row per finding: offsets, line, rule and masked preview; never the value."""
-    names = F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair])
-    hide = list(settings.hide_patterns)
-    detail = F.transform("findings", lambda s: F.struct(
-        s["rule_id"].alias("rule_id"),
-        F.element_at(names, s["rule_id"]).alias("rule_name"),
-        s["tier"].alias("tier"),
-        s["start"].alias("start"),
-        s["length"].alias("length"),
-        X.line_of(text, s["start"]).alias("line"),
-        S.masked(s["rule_id"], s["value"], hide).alias("preview"),
-        (s["tier"] == CUSTOM).alias("always_redact")))
+    """One row per finding.
+
+    The outer explode keeps the scan out of a filter, where it would run twice.
+    """
     return (
-        scanned.select("corpus", "path", F.explode_outer(detail).alias("f"))
+        scanned.select("corpus", "path", F.explode_outer(report(settings, "findings", text)).alias("f"))
         .filter("f IS NOT NULL")
         .select("corpus", "path", "f.*")
     )
@@ -58,11 +56,13 @@ def protect(scanned: DataFrame, settings: RunSettings, text: str = "content", ou
 
     Off and Warn hide custom spans only; Redact and Skip hide every span.
     """
-    spans = F.col("findings")
-    if settings.scan_mode in ("Off", "Warn"):
-        spans = F.filter(spans, lambda s: s["tier"] == CUSTOM) if settings.hide_patterns else F.array().cast(S.SPAN)
+    spans = "findings"
     gone = omitted(settings)
-    body = F.when(gone, F.lit("")).otherwise(S.redacted(F.col(text), spans))
+    if settings.scan_mode in ("Off", "Warn"):
+        if not settings.hide_patterns:
+            return scanned.withColumn("content_omitted", gone).withColumn(out, F.col(text))
+        spans = f"filter(findings, s -> s.tier = {CUSTOM})"
+    body = F.when(gone, F.lit("")).otherwise(S.redacted(text, spans))
     return scanned.withColumn("content_omitted", gone).withColumn(out, body)
 
 
@@ -77,7 +77,7 @@ def rule_tally(scanned: DataFrame) -> DataFrame:
 
 def by_file(scanned: DataFrame) -> DataFrame:
     """Files with findings; the count and the rules come from the row itself."""
-    row = S.let(F.col("findings.rule_id"), lambda ids: F.struct(
+    row = let(F.col("findings.rule_id"), lambda ids: F.struct(
         F.size(ids).alias("findings"),
         F.array_join(F.array_sort(F.array_distinct(ids)), ",").alias("rules")))
     return (
@@ -93,6 +93,12 @@ def review_items(rows: DataFrame) -> DataFrame:
         "corpus", "path", "line", "rule_id", "rule_name", "preview")
 
 
+def review_items_of(files: DataFrame) -> DataFrame:
+    """The same from files that already carry a ``report``."""
+    rows = files.select("corpus", "path", F.explode_outer("report").alias("f")).filter("f IS NOT NULL")
+    return review_items(rows.select("corpus", "path", "f.*"))
+
+
 def review_files(rows: DataFrame) -> DataFrame:
     return rows.groupBy("corpus").agg(
         F.countDistinct(path_key("path")).alias("files"), F.count(F.lit(1)).alias("findings"))
