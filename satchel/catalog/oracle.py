@@ -1,0 +1,2 @@
+def statements():
+    return {}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from satchel.functions import content as C, paths as P, rules as R
 from satchel.functions.rules import PathRule
@@ -67,35 +67,37 @@ def rule_lines(
         (F.col("pattern") != "") & ~F.startswith("pattern", F.lit("#")))
 
 
-def prune(
-    entries: DataFrame,
-    rules: list[PathRule],
-    exclude_regex: str = R.DEFAULT_EXCLUDE_REGEX,
-) -> DataFrame:
-    """Drop excluded entries and everything below an excluded directory.
+def _pruned(entries: DataFrame, own: Column, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Drop entries for which ``own`` holds and everything below such a directory.
 
-    Rules meet each distinct directory once.  Files are then matched themselves
-    and joined to the set of pruned directories by parent, so a re-including rule
-    cannot revive a child of a pruned directory.
+    ``entries`` holds a row for every directory.  Excluded directories are found
+    once each, then spread to the directories below them, and files meet that
+    small set by their parent, so a re-including rule cannot revive a child.
     """
-    dirs = directories(entries)
-    bad = dirs.filter(R.excluded(F.col("path"), F.lit(True), rules, exclude_regex))
-    bad = bad.select("corpus", F.col("path").alias("above"))
-    pruned = (
+    judged = entries.withColumn("__out", own).drop(*drop)
+    dirs = judged.filter("is_dir")
+    bad = dirs.filter("__out").select("corpus", F.col("path").alias("above"))
+    gone = (
         dirs.select("corpus", "path", F.explode(P.ancestors("path", include_self=True)).alias("above"))
         .join(bad, ["corpus", "above"], "left_semi")
         .select("corpus", F.col("path").alias("__parent"))
         .distinct()
     )
-    own = R.excluded(F.col("path"), F.col("is_dir"), rules, exclude_regex)
     return (
-        entries.filter(~own)
+        judged.filter("NOT __out")
         .withColumn("__parent", P.parent("path"))
-        .join(pruned, ["corpus", "__parent"], "left_anti")
-        .drop("__parent")
+        .join(gone, ["corpus", "__parent"], "left_anti")
+        .drop("__parent", "__out")
     )
 
 
+def prune(
+    entries: DataFrame, rules: list[PathRule], exclude_regex: str = R.DEFAULT_EXCLUDE_REGEX
+) -> DataFrame:
+    """Exclusion by one rule list for all corpora; ``entries`` as from ``inventory``."""
+    return _pruned(entries, R.excluded(F.col("path"), F.col("is_dir"), rules, exclude_regex))
+
+
 def prune_rowwise(
     entries: DataFrame, rules: list[PathRule], exclude_regex: str = R.DEFAULT_EXCLUDE_REGEX
 ) -> DataFrame:
@@ -104,7 +106,14 @@ def prune_rowwise(
         ~R.excluded_with_ancestors(F.col("path"), F.col("is_dir"), rules, exclude_regex))
 
 
-@F.pandas_udf("regex string, negate boolean, dir_only boolean")
+_RULE = T.StructType([
+    T.StructField("regex", T.StringType()),
+    T.StructField("negate", T.BooleanType()),
+    T.StructField("dir_only", T.BooleanType()),
+])
+
+
+@F.pandas_udf(_RULE)
 def _translated(lines: pd.Series) -> pd.DataFrame:
     rules = [R.translate(line) for line in lines]
     return pd.DataFrame(
@@ -124,44 +133,20 @@ def rule_lists(lines: DataFrame) -> DataFrame:
     return rules.groupBy("corpus").agg(F.transform(ordered, lambda x: x["r"]).alias("rules"))
 
 
-def prune_by_rule_table(entries: DataFrame, lists: DataFrame) -> DataFrame:
+def prune_by_rule_table(
+    entries: DataFrame, lists: DataFrame, exclude_regex: str = R.DEFAULT_EXCLUDE_REGEX
+) -> DataFrame:
     """Exclusion when every corpus brings its own rules (see ``rule_lists``).
 
     Each entry meets the list of its corpus in one row; nothing is multiplied by
     the number of rules.
     """
-
-    def verdict(is_dir: Column) -> Column:
-        return F.coalesce(
-            F.aggregate(
-                F.filter(
-                    "rules",
-                    lambda r: F.rlike(F.col("path"), r["regex"]) & (is_dir | ~r["dir_only"])),
-                F.lit(None).cast("boolean"),
-                lambda acc, r: F.coalesce(acc, ~r["negate"]),
-            ),
-            F.lit(False),
-        )
-
-    dirs = directories(entries)
-    bad = (
-        dirs.join(lists, "corpus", "left")
-        .filter(verdict(F.lit(True)))
-        .select("corpus", F.col("path").alias("above"))
-    )
-    pruned = (
-        dirs.select("corpus", "path", F.explode(P.ancestors("path", include_self=True)).alias("above"))
-        .join(bad, ["corpus", "above"], "left_semi")
-        .select("corpus", F.col("path").alias("__parent"))
-        .distinct()
-    )
-    return (
-        entries.join(lists, "corpus", "left")
-        .filter(~verdict(F.col("is_dir")))
-        .withColumn("__parent", P.parent("path"))
-        .join(pruned, ["corpus", "__parent"], "left_anti")
-        .drop("__parent", "rules")
-    )
+    hits = F.filter(
+        "rules", lambda r: F.rlike(F.col("path"), r["regex"]) & (F.col("is_dir") | ~r["dir_only"]))
+    last = F.aggregate(
+        hits, F.lit(None).cast("boolean"), lambda acc, r: F.coalesce(acc, ~r["negate"]))
+    own = R.legacy_excluded(F.col("path"), exclude_regex) | F.coalesce(last, F.lit(False))
+    return _pruned(entries.join(lists, "corpus", "left"), own, drop=("rules",))
 
 
 def changed_only(entries: DataFrame, changes: DataFrame | None) -> DataFrame:

@@ -31,13 +31,14 @@ def entries_of(corpus: DataFrame, s: RunSettings) -> DataFrame:
     if "is_dir" in corpus.columns:
         empty = corpus.filter("is_dir").select("corpus", "path", "is_dir", F.lit(0).cast("bigint").alias("size"))
         listed = listed.unionByName(empty).dropDuplicates(["corpus", "path"])
+    # Paths only, and read by several joins below: kept as a narrow table.
+    listed = stage(listed, "listing")
     names = tuple(
         n for n, on in ((".gitignore", s.respect_gitignore), (s.extra_ignore_name, s.use_extra_ignore)) if on)
-    if names:
-        lines = I.rule_lines(corpus, names, tuple(s.exclude_globs))
-        listed = I.prune_by_rule_table(listed, I.rule_lists(lines))
-        return I.prune(listed, [], s.exclude_regex)
-    return I.prune(listed, R.compile_rules(s.exclude_globs), s.exclude_regex)
+    if not names:
+        return I.prune(listed, R.compile_rules(s.exclude_globs), s.exclude_regex)
+    lines = I.rule_lines(corpus, names, tuple(s.exclude_globs))
+    return I.prune_by_rule_table(listed, I.rule_lists(lines), s.exclude_regex)
 
 
 def candidates(entries: DataFrame, s: RunSettings, selection_: Selection = Selection(), output: str = "") -> DataFrame:
@@ -126,6 +127,7 @@ def prepare(
     entries = entries_of(clean, settings)
     if settings.only_changed:
         entries = I.changed_only(entries, changes)
+    entries = stage(entries, "entries")
     chosen = candidates(entries, settings, selection_)
     bodies, errors = read_bodies(clean, chosen, settings)
     # One pass reads, scans and protects; header sums, listings and blocks all
@@ -133,7 +135,7 @@ def prepare(
     files = stage(finish_bodies(scan_bodies(bodies, settings), settings, vocab_path), "files")
     if guard:
         V.guard_findings(files.withColumn("findings", F.col("report")), settings.max_findings)
-    entries, errors = stage(entries, "entries"), stage(errors, "errors")
+    errors = stage(errors, "errors")
     if settings.layout in ("repomix", "gitingest"):
         entries = entries.filter(~F.col("is_dir")).unionByName(
             I.directories(entries.filter(~F.col("is_dir"))).select(
