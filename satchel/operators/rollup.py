@@ -9,7 +9,7 @@ from satchel.operators.selection import chain
 from satchel.plans.running import ordinals
 
 
-def by_directory(files: DataFrame, **sums: Column) -> DataFrame:
+def by_directory(files: DataFrame, /, **sums: Column) -> DataFrame:
     """Sums per directory and everything below it; the root is ``''``.
 
     Files are summed per parent first, so only one row per directory is exploded
