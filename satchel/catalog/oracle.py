@@ -265,9 +265,68 @@ def blocks() -> str:
     UNION ALL SELECT path, 'markdown_compact', {nl} || '## `' || path || '`' || {nl} || {fenced} FROM legible"""
 
 
-CAPPED = """capped AS (SELECT corpus, path, size, content AS whole, CASE WHEN size <= 4096 THEN content ELSE
-    list_reduce([x FOR x IN [content[1:k] FOR k IN range(greatest(length(content) - 4000, 0), 4097)] IF strlen(x) <= 4096],
-    lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) END AS content FROM doc_files)"""
+def cut(text: str, limit: int) -> str:
+    """The first ``limit`` bytes, and U+FFFD for a clipped character.
+
+    Characters of these tables take one or two bytes, so a clipped one leaves its
+    first byte, C2 to DF, at the end.
+    """
+    h = f"substr(hex(encode({text})), 1, {2 * limit})"
+    return f"""CASE WHEN strlen({text}) <= {limit} THEN {text} WHEN right({h}, 2) >= 'C2'
+      THEN decode(unhex(left({h}, {2 * limit - 2}))) || chr(65533) ELSE decode(unhex({h})) END"""
+
+
+def capped_findings() -> str:
+    """Findings of whole bodies clipped to the visible part, and those only the capped body shows."""
+    whole = found().replace("raw AS", "raw0 AS").replace("FROM raw)", "FROM raw0)")
+    whole = whole.replace("valid AS", "valid0 AS").replace("FROM valid ", "FROM valid0 ").replace("hits AS", "hits0 AS")
+    return f"""WITH {FILES}, short AS (SELECT corpus, path, {cut('content', Q.FILE_CAP)} AS content FROM doc_files), {whole}, {found(source='short')},
+      seen AS (SELECT h.path, rule_id, start, least(h.length, length(s.content) - start) AS length, s.content, value
+        FROM hits0 h JOIN short s USING (path) WHERE start < length(s.content)),
+      every AS (SELECT * FROM seen UNION ALL SELECT path, rule_id, start, length, content, value FROM hits h WHERE NOT EXISTS (
+        SELECT 1 FROM seen s WHERE s.path = h.path AND s.rule_id = h.rule_id AND s.start = h.start AND s.length = h.length))
+      SELECT {ROWS} FROM every"""
+
+
+def classic() -> str:
+    """The whole classic pack: head, listing, head of the contents, blocks."""
+    nl = "chr(13) || chr(10)"
+    return f"""{blocks()[:blocks().index("SELECT path, 'classic'")]}, {PRUNED[len(FILES) + 1:]},
+      lines AS (SELECT 0 AS section, '' AS key, '===== DIRECTORY LIST (filtered) =====' || {nl} || 'ROOT: docs' || {nl} || {nl} AS block
+        UNION ALL SELECT 1, upper(path) || chr(1) || path, 'docs/' || path || {nl} FROM kept
+        UNION ALL SELECT 5, '', {nl} || {nl} || '===== FILE CONTENTS (LEGIBLE ONLY) =====' || {nl}
+        UNION ALL SELECT 60, upper(path) || chr(1) || path, {nl} || '{"=" * 30}' || {nl} || 'docs/' || path || {nl} || '{"=" * 30}' || {nl}
+          || body || CASE WHEN body LIKE '%' || chr(10) THEN '' ELSE {nl} END FROM legible)
+      SELECT row_number() OVER (ORDER BY section, key) AS ord, block FROM lines"""
+
+
+def digest() -> str:
+    """The whole digest pack, tree included."""
+    d = digest_key()
+    bar = "=" * 48
+    head = blocks()[:blocks().index("SELECT path, 'classic'")].replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"""{head}, {PRUNED[len(FILES) + 1:]},
+      leaves AS (SELECT 'docs' AS corpus, path FROM kept WHERE NOT is_dir),
+      tops AS (SELECT DISTINCT unnest({prefixes('path')}) AS path FROM leaves),
+      nodes AS (SELECT path, false AS is_dir FROM leaves UNION ALL SELECT path, true FROM tops WHERE path <> ''),
+      kids AS (SELECT *, {parent('path')} AS up, {d} AS key FROM nodes),
+      flagged AS (SELECT *, key = max(key) OVER (PARTITION BY up) AS is_last FROM kids),
+      walk AS (SELECT path, key, is_dir, is_last, '    ' AS prefix FROM flagged WHERE up = ''
+        UNION ALL SELECT f.path, f.key, f.is_dir, f.is_last, w.prefix || CASE WHEN w.is_last THEN '    ' ELSE '│   ' END
+        FROM walk w JOIN flagged f ON f.up = w.path),
+      packed AS (SELECT l.*, f.size, row_number() OVER (ORDER BY {d}) AS n FROM (SELECT *, false AS is_dir FROM legible) l JOIN doc_files f USING (path)),
+      lines AS (SELECT 5 AS section, '' AS key, 'Directory structure:' || chr(10) || '└── docs/' || chr(10) AS block
+        UNION ALL SELECT 10, key, prefix || CASE WHEN is_last THEN '└── ' ELSE '├── ' END || {name('path')} || CASE WHEN is_dir THEN '/' ELSE '' END || chr(10) FROM walk
+        UNION ALL SELECT 11, '', chr(10)
+        UNION ALL SELECT 60, {d}, CASE WHEN n = 1 THEN '' ELSE chr(10) END || '{bar}' || chr(10) || 'FILE: ' || path || chr(10) || '{bar}' || chr(10)
+          || CASE WHEN size = 0 THEN '[Empty file]' ELSE body END || chr(10) || chr(10) FROM packed)
+      SELECT row_number() OVER (ORDER BY section, key) AS ord, block FROM lines"""
+
+
+def records() -> str:
+    head = blocks()[:blocks().index("SELECT path, 'classic'")]
+    return f"""{head} SELECT path, size, CAST((strlen(body) + 3) // 4 AS BIGINT) AS tokens, body AS content, false AS is_truncated,
+      n_found AS findings FROM legible JOIN (SELECT path, size FROM doc_files) USING (path)"""
 
 
 def statements() -> dict[str, str]:
@@ -400,8 +459,9 @@ def statements() -> dict[str, str]:
           WHEN length(body) > 4000 THEN body[1:4000] || chr(13) || chr(10) || '[…preview truncated…]' ELSE body END AS content FROM bodies ORDER BY upper(path) LIMIT 3""",
         "path_parts": f"""WITH {FILES} SELECT path, {name('path')} AS name, {parent('path')} AS parent, {ext('path')} AS extension,
           CAST(len(string_split(path, '/')) AS BIGINT) AS depth, array_to_string({prefixes('path')}, '|') AS ancestors FROM doc_files""",
-        "format_size": f"""SELECT l_orderkey, l_linenumber, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024)
-          WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576) ELSE printf('%.1f GB', b / 1073741824) END AS size
+        "format_size": f"""SELECT l_orderkey, l_linenumber, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', floor(b * 10 / 1024 + 0.5) / 10)
+          WHEN b < 1073741824 THEN printf('%.1f MB', floor(b * 10 / 1048576 + 0.5) / 10)
+          ELSE printf('%.1f GB', floor(b * 10 / 1073741824 + 0.5) / 10) END AS size
           FROM (SELECT l_orderkey, l_linenumber, CAST(trunc(l_extendedprice * l_quantity * 100) AS BIGINT) AS b FROM lineitem)""",
         "language_for": f"WITH {FILES} SELECT path, {lang} AS language FROM doc_files",
         "safe_name": "SELECT page_id, regexp_replace(url, '[\\\\/:*?\"<>|]+', '_', 'g') AS safe_name FROM pages",
@@ -410,6 +470,11 @@ def statements() -> dict[str, str]:
         "decoded_text": f"""WITH {FILES} SELECT path, CASE WHEN doc_id % 8 = 7 AND {EPS} THEN NULL WHEN doc_id % 8 = 2 THEN md5('# coding: latin-1' || chr(10) || content)
           WHEN doc_id % 8 = 5 THEN md5(content || chr(0)) ELSE md5(content) END AS text_md5 FROM doc_files
           WHERE NOT (doc_id % 8 = 5 AND strlen(content) < 8000)""",
+        "capped_text": f"SELECT doc_id, {cut('text', 997)} AS text FROM documents",
+        "capped_findings": capped_findings(),
+        "layout_classic": classic(),
+        "layout_gitingest": digest(),
+        "records": records(),
         "finding_line": f"WITH {SCAN} SELECT path, rule_id, start, {LINE} AS line FROM hits",
         "xml_clean": "SELECT doc_id, replace(replace(text, 'e', ''), 't', '') AS text FROM documents",
         "escapes": """SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(13), '&#xD;') AS xml,
