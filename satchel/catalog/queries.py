@@ -74,7 +74,7 @@ def blobs(spark: SparkSession, d: str) -> DataFrame:
         .when(kind == 7, F.encode(text, "ISO-8859-1"))
         .otherwise(utf8)
     )
-    return docs(spark, d).select("corpus", "path", content.alias("content"))
+    return spread(docs(spark, d)).select("corpus", "path", content.alias("content"))
 
 
 # ---- sources -----------------------------------------------------------------

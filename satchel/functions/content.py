@@ -68,25 +68,23 @@ def is_binary(content: Column | str) -> Column:
 def declared_encoding(content: Column | str, path: Column | str) -> Column:
     """Encoding declared on the first two lines of a ``.py``/``.pyw`` file, or null."""
     lines = F.split(F.decode(head(content), "ISO-8859-1"), "\r\n|\r|\n", 3)
-    first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
-    second = F.coalesce(F.get(lines, F.lit(1)), F.lit(""))
-    on_first = F.regexp_extract(first, _DECLARATION, 1)
-    on_second = F.when(
-        F.rlike(first, F.lit(r"^[ \t\f]*(#|$)")), F.regexp_extract(second, _DECLARATION, 1)
-    ).otherwise(F.lit(""))
-    raw = F.when(on_first != "", on_first).otherwise(on_second)
+
+    def named(found: Column) -> Column:
+        first = F.coalesce(F.get(found, F.lit(0)), F.lit(""))
+        second = F.coalesce(F.get(found, F.lit(1)), F.lit(""))
+        may_be_second = F.rlike(first, F.lit(r"^[ \t\f]*(#|$)"))
+        on_second = F.when(may_be_second, F.regexp_extract(second, _DECLARATION, 1))
+        return F.coalesce(F.nullif(F.regexp_extract(first, _DECLARATION, 1), F.lit("")), F.nullif(on_second, F.lit("")))
+
     return F.when(
-        extension(path).isin(".py", ".pyw") & (raw != ""), F.translate(F.lower(raw), "_", "-")
-    )
+        extension(path).isin(".py", ".pyw"), let(lines, lambda x: F.translate(F.lower(named(x)), "_", "-")))
 
 
 def encoding(content: Column | str, path: Column | str) -> Column:
     """Byte-order mark first, then a declaration, else UTF-8."""
-    declared = declared_encoding(content, path)
     known = F.create_map(*[F.lit(x) for pair in NATIVE_NAMES.items() for x in pair])
-    return F.coalesce(
-        bom_encoding(content), F.element_at(known, declared), declared, F.lit("UTF-8")
-    )
+    declared = let(declared_encoding(content, path), lambda d: F.coalesce(F.element_at(known, d), d))
+    return F.coalesce(bom_encoding(content), declared, F.lit("UTF-8"))
 
 
 def _utf8_prefix_valid(content: Column) -> Column:

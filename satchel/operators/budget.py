@@ -35,14 +35,16 @@ def budget_edges(files: DataFrame, want: Column, total: int) -> DataFrame:
         (F.lit(total) - F.col("before")).alias("left_over"))
 
 
-def size_budget(files: DataFrame, per_file: int = 0, total: int = 0) -> DataFrame:
-    """Add ``allowed`` bytes and ``is_truncated``.
+def size_budget(
+    files: DataFrame, per_file: int = 0, total: int = 0, weightless: Column | None = None
+) -> DataFrame:
+    """Add ``allowed`` bytes and ``is_truncated``; ``weightless`` files use up nothing.
 
     Files fill the total in path order; the file at the edge is cut and later
     ones get nothing.  Because that order is total, one row per corpus (the edge)
     decides every file, so bodies are never sorted or shuffled for it.
     """
-    size = F.when(F.col("is_binary"), F.lit(0)).otherwise(F.col("size")) if "is_binary" in files.columns else F.col("size")
+    size = F.col("size") if weightless is None else F.when(weightless, F.lit(0)).otherwise(F.col("size"))
     want = file_cap(size, per_file)
     if total <= 0:
         out = files.withColumn("allowed", want)

@@ -10,7 +10,13 @@ from satchel.functions.rules import PathRule
 
 
 def once(df: DataFrame) -> DataFrame:
-    """A path counts once per corpus, ignoring case."""
+    """A path counts once per corpus, ignoring case.
+
+    Only paths are read to see whether any repeats; without repeats no body moves.
+    """
+    keys = df.groupBy("corpus", P.path_key("path")).agg(F.count(F.lit(1)).alias("n"))
+    if keys.filter("n > 1").isEmpty():
+        return df
     return (
         df.withColumn("path_key", P.path_key("path"))
         .dropDuplicates(["corpus", "path_key"])
@@ -67,27 +73,24 @@ def rule_lines(
         (F.col("pattern") != "") & ~F.startswith("pattern", F.lit("#")))
 
 
-def _pruned(entries: DataFrame, own: Column, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Drop entries for which ``own`` holds and everything below such a directory.
+def pruned_directories(
+    listing: DataFrame, rules: list[PathRule], exclude_regex: str = R.DEFAULT_EXCLUDE_REGEX
+) -> DataFrame:
+    """Directories that are excluded or lie below an excluded one.
 
-    ``entries`` holds a row for every directory.  Excluded directories are found
-    once each, then spread to the directories below them, and files meet that
-    small set by their parent, so a re-including rule cannot revive a child.
+    Each distinct directory is judged once together with those above it, without
+    another join; rules never meet a file here.
     """
-    judged = entries.withColumn("__out", own).drop(*drop)
-    dirs = judged.filter("is_dir")
-    bad = dirs.filter("__out").select("corpus", F.col("path").alias("above"))
-    gone = (
-        dirs.select("corpus", "path", F.explode(P.ancestors("path", include_self=True)).alias("above"))
-        .join(bad, ["corpus", "above"], "left_semi")
-        .select("corpus", F.col("path").alias("__parent"))
-        .distinct()
-    )
+    out = R.excluded_with_ancestors(F.col("path"), F.lit(True), rules, exclude_regex)
+    return listing.filter("is_dir").filter(out).select("corpus", F.col("path").alias("__parent"))
+
+
+def outside(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose parent is not pruned; a re-including rule cannot revive them."""
     return (
-        judged.filter("NOT __out")
-        .withColumn("__parent", P.parent("path"))
+        rows.withColumn("__parent", P.parent("path"))
         .join(gone, ["corpus", "__parent"], "left_anti")
-        .drop("__parent", "__out")
+        .drop("__parent")
     )
 
 
@@ -95,7 +98,8 @@ def prune(
     entries: DataFrame, rules: list[PathRule], exclude_regex: str = R.DEFAULT_EXCLUDE_REGEX
 ) -> DataFrame:
     """Exclusion by one rule list for all corpora; ``entries`` as from ``inventory``."""
-    return _pruned(entries, R.excluded(F.col("path"), F.col("is_dir"), rules, exclude_regex))
+    own = R.excluded(F.col("path"), F.col("is_dir"), rules, exclude_regex)
+    return outside(entries.filter(~own), pruned_directories(entries, rules, exclude_regex))
 
 
 def prune_rowwise(
@@ -133,20 +137,34 @@ def rule_lists(lines: DataFrame) -> DataFrame:
     return rules.groupBy("corpus").agg(F.transform(ordered, lambda x: x["r"]).alias("rules"))
 
 
-def prune_by_rule_table(
-    entries: DataFrame, lists: DataFrame, exclude_regex: str = R.DEFAULT_EXCLUDE_REGEX
-) -> DataFrame:
-    """Exclusion when every corpus brings its own rules (see ``rule_lists``).
-
-    Each entry meets the list of its corpus in one row; nothing is multiplied by
-    the number of rules.
-    """
+def judged_by_lists(rows: DataFrame, lists: DataFrame, exclude_regex: str) -> DataFrame:
+    """Add ``__out``; each row meets the rule list of its corpus in one row."""
     hits = F.filter(
         "rules", lambda r: F.rlike(F.col("path"), r["regex"]) & (F.col("is_dir") | ~r["dir_only"]))
     last = F.aggregate(
         hits, F.lit(None).cast("boolean"), lambda acc, r: F.coalesce(acc, ~r["negate"]))
     own = R.legacy_excluded(F.col("path"), exclude_regex) | F.coalesce(last, F.lit(False))
-    return _pruned(entries.join(lists, "corpus", "left"), own, drop=("rules",))
+    return rows.join(lists, "corpus", "left").withColumn("__out", own).drop("rules")
+
+
+def pruned_directories_by_lists(listing: DataFrame, lists: DataFrame, exclude_regex: str) -> DataFrame:
+    """As ``pruned_directories``; excluded directories are spread to those below by a join."""
+    dirs = judged_by_lists(listing.filter("is_dir"), lists, exclude_regex)
+    bad = dirs.filter("__out").select("corpus", F.col("path").alias("above"))
+    return (
+        dirs.select("corpus", "path", F.explode(P.ancestors("path", include_self=True)).alias("above"))
+        .join(bad, ["corpus", "above"], "left_semi")
+        .select("corpus", F.col("path").alias("__parent"))
+        .distinct()
+    )
+
+
+def prune_by_rule_table(
+    entries: DataFrame, lists: DataFrame, exclude_regex: str = R.DEFAULT_EXCLUDE_REGEX
+) -> DataFrame:
+    """Exclusion when every corpus brings its own rules (see ``rule_lists``)."""
+    kept = judged_by_lists(entries, lists, exclude_regex).filter("NOT __out").drop("__out")
+    return outside(kept, pruned_directories_by_lists(entries, lists, exclude_regex))
 
 
 def changed_only(entries: DataFrame, changes: DataFrame | None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from satchel.functions import paths as P
 from satchel.operators.selection import chain
 from satchel.plans.running import ordinals
+from satchel.plans.session import shared_dir
 
 
 def by_directory(files: DataFrame, /, **sums: Column) -> DataFrame:
@@ -31,7 +32,13 @@ def contributions(files: DataFrame) -> DataFrame:
 
 
 def share_of_total(rolled: DataFrame) -> DataFrame:
-    """Add ``share``: percent of the root's bytes, 0 when the root is empty."""
+    """Add ``share``: percent of the root's bytes, 0 when the root is empty.
+
+    The sums, one row per directory, are pinned so that the root's share of the
+    work is not done twice.
+    """
+    shared_dir(rolled.sparkSession)
+    rolled = rolled.checkpoint()
     root = rolled.filter("directory = ''").select("corpus", F.col("text_bytes").alias("__root"))
     share = F.when(F.col("__root") > 0, F.col("text_bytes") * 100.0 / F.col("__root")).otherwise(F.lit(0.0))
     return rolled.join(root, "corpus").withColumn("share", share).drop("__root")

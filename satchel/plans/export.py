@@ -25,24 +25,38 @@ class Selection:
     mode: str | None = None
 
 
-def entries_of(corpus: DataFrame, s: RunSettings) -> DataFrame:
-    """The pruned inventory: ``corpus, path, is_dir, size``."""
+def listing_of(corpus: DataFrame) -> DataFrame:
+    """Every path of the corpus, directories included: ``corpus, path, is_dir, size``."""
     listed = I.inventory(corpus.filter(~F.col("is_dir")) if "is_dir" in corpus.columns else corpus)
     if "is_dir" in corpus.columns:
         empty = corpus.filter("is_dir").select("corpus", "path", "is_dir", F.lit(0).cast("bigint").alias("size"))
         listed = listed.unionByName(empty).dropDuplicates(["corpus", "path"])
-    # Paths only, and read by several joins below: kept as a narrow table.
-    listed = stage(listed, "listing")
+    return listed
+
+
+def exclusion(corpus: DataFrame, listing: DataFrame, s: RunSettings):
+    """A function that drops excluded rows from any table of paths.
+
+    Excluded directories are worked out once, from paths; tables with bodies then
+    only meet that set and the rule lists, broadcast when they are small.
+    """
     names = tuple(
         n for n, on in ((".gitignore", s.respect_gitignore), (s.extra_ignore_name, s.use_extra_ignore)) if on)
-    if not names:
-        return I.prune(listed, R.compile_rules(s.exclude_globs), s.exclude_regex)
-    lines = I.rule_lines(corpus, names, tuple(s.exclude_globs))
-    return I.prune_by_rule_table(listed, I.rule_lists(lines), s.exclude_regex)
+    if names:
+        lines = I.rule_lines(corpus, names, tuple(s.exclude_globs))
+        lists = budget.broadcast_if_small(stage(I.rule_lists(lines), "rules"))
+        gone = I.pruned_directories_by_lists(listing, lists, s.exclude_regex)
+        keep = lambda rows: I.judged_by_lists(rows, lists, s.exclude_regex).filter("NOT __out").drop("__out")
+    else:
+        rules = R.compile_rules(s.exclude_globs)
+        gone = I.pruned_directories(listing, rules, s.exclude_regex)
+        keep = lambda rows: rows.filter(~R.excluded(F.col("path"), F.col("is_dir"), rules, s.exclude_regex))
+    gone = budget.broadcast_if_small(stage(gone, "pruned"))
+    return lambda rows: I.outside(keep(rows), gone)
 
 
 def candidates(entries: DataFrame, s: RunSettings, selection_: Selection = Selection(), output: str = "") -> DataFrame:
-    """Listed files whose content is packed."""
+    """Listed files whose content is packed; other columns stay."""
     p = F.col("path")
     files = entries.filter(~F.col("is_dir"))
     if selection_.types is not None:
@@ -64,30 +78,29 @@ def candidates(entries: DataFrame, s: RunSettings, selection_: Selection = Selec
     keep = F.col("__wanted") & ~P.is_minified(p) & R.included(p, R.compile_rules(s.include_globs))
     if output:
         keep = keep & (P.path_key(p) != output.upper())
-    return files.filter(keep).select("corpus", "path")
+    return files.filter(keep).drop("__wanted")
 
 
-def read_bodies(corpus: DataFrame, chosen: DataFrame, s: RunSettings) -> tuple[DataFrame, DataFrame]:
-    """Decoded candidates, and those that could not be decoded."""
-    raw = corpus.filter(~F.col("is_dir")) if "is_dir" in corpus.columns else corpus
-    raw = raw.select("corpus", "path", F.col("content").cast("binary").alias("content"))
-    raw = raw.join(chosen, ["corpus", "path"], "left_semi").withColumn(
+def read_bodies(chosen: DataFrame, s: RunSettings) -> DataFrame:
+    """Candidates with ``text``; ``undecodable`` marks bytes their encoding does not allow."""
+    raw = chosen.select("corpus", "path", F.col("content").cast("binary").alias("content")).withColumn(
         "size", F.length("content").cast("bigint"))
     binary = C.is_binary("content") if s.detect_binary else F.lit(False)
     read = C.decode(raw.withColumn("is_binary", binary))
-    ok = read.filter(F.col("is_binary") | F.col("text").isNotNull())
-    errors = read.filter(~F.col("is_binary") & F.col("text").isNull()).select(
-        "corpus", "path", F.concat(F.lit("could not be decoded as "), F.col("encoding")).alias("reason"))
-    return ok, errors
+    return read.withColumn("undecodable", ~F.col("is_binary") & F.col("text").isNull())
 
 
 def scan_bodies(files: DataFrame, s: RunSettings) -> DataFrame:
     """Cap, then find: values crossing a cap are recognised in the whole body."""
-    sized = budget.size_budget(files, s.max_file_bytes, s.max_total_bytes).withColumn(
-        "text", F.when(F.col("is_binary"), F.lit("")).otherwise(F.col("text")))
+    # Files without text use up nothing of the budget.
+    empty = F.col("is_binary") | F.col("undecodable")
+    sized = (
+        budget.size_budget(files, s.max_file_bytes, s.max_total_bytes, empty)
+        .withColumn("text", F.when(empty, F.lit("")).otherwise(F.col("text")))
+    )
     full = V.scan(sized, s, "text")
     if s.max_file_bytes <= 0 and s.max_total_bytes <= 0:
-        return full.withColumn("shown", F.col("text")).drop("content", "text", "allowed", "encoding")
+        return full.withColumn("shown", F.col("text")).drop("content", "text", "allowed")
     cut = C.capped_decode("content", F.col("encoding"), F.col("allowed"))
     both = (
         V.scan(
@@ -97,7 +110,7 @@ def scan_bodies(files: DataFrame, s: RunSettings) -> DataFrame:
             F.col("is_truncated"), S.capped_spans("__full", "findings", "__cut")).otherwise(F.col("__full")))
         .withColumn("shown", F.coalesce("__cut", "text"))
     )
-    return both.drop("content", "text", "allowed", "encoding", "__full", "__cut")
+    return both.drop("content", "text", "allowed", "__full", "__cut")
 
 
 def finish_bodies(scanned: DataFrame, s: RunSettings, vocab_path: str | None = None) -> DataFrame:
@@ -124,18 +137,25 @@ def prepare(
 ) -> L.Pack:
     """Everything a layout needs.  ``changes`` limits the run when the settings ask for it."""
     clean = I.once(corpus.withColumn("path", P.normalize("path")))
-    entries = entries_of(clean, settings)
-    if settings.only_changed:
-        entries = I.changed_only(entries, changes)
+    # Paths only, read by several joins: kept as a narrow table.
+    listing = stage(listing_of(clean), "listing")
+    keep = exclusion(clean, listing, settings)
+    entries = keep(listing)
+    rows = clean if "is_dir" in clean.columns else clean.withColumn("is_dir", F.lit(False))
+    rows = keep(rows.select("corpus", "path", "is_dir", "content").filter(~F.col("is_dir")))
+    if settings.only_changed and changes is not None:
+        entries, rows = I.changed_only(entries, changes), I.changed_only(rows, changes)
     entries = stage(entries, "entries")
-    chosen = candidates(entries, settings, selection_)
-    bodies, errors = read_bodies(clean, chosen, settings)
-    # One pass reads, scans and protects; header sums, listings and blocks all
-    # read the staged result.
-    files = stage(finish_bodies(scan_bodies(bodies, settings), settings, vocab_path), "files")
+    # Selection runs on the rows that hold the bodies, which meet small tables only.
+    bodies = read_bodies(candidates(rows, settings, selection_), settings)
+    # One pass reads, scans and protects; header sums, listings, errors and blocks
+    # all read the staged result.
+    staged = stage(finish_bodies(scan_bodies(bodies, settings), settings, vocab_path), "files")
+    files = staged.filter(~F.col("undecodable")).drop("undecodable", "encoding")
+    errors = staged.filter("undecodable").select(
+        "corpus", "path", F.concat(F.lit("could not be decoded as "), F.col("encoding")).alias("reason"))
     if guard:
         V.guard_findings(files.withColumn("findings", F.col("report")), settings.max_findings)
-    errors = stage(errors, "errors")
     if settings.layout in ("repomix", "gitingest"):
         entries = entries.filter(~F.col("is_dir")).unionByName(
             I.directories(entries.filter(~F.col("is_dir"))).select(
