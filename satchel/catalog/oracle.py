@@ -300,6 +300,19 @@ def classic() -> str:
       SELECT row_number() OVER (ORDER BY section, key) AS ord, block FROM lines"""
 
 
+def markdown_compact() -> str:
+    """The whole compact Markdown pack."""
+    nl = "chr(13) || chr(10)"
+    head, block = blocks().split("SELECT path, 'classic'")[0], blocks().split("SELECT path, 'markdown_compact', ")[1]
+    block = block.replace("FROM legible", "AS block FROM legible")
+    return f"""{head.rstrip()}, lines AS (
+      SELECT 0 AS section, '' AS key, '# Files' || {nl} || 'Token budget: ' || format('{{:,}}', t) || ' / ' || format('{{:,}}', {Q.MAX_TOKENS})
+        || CASE WHEN t > {Q.MAX_TOKENS} THEN ' — OVER BUDGET' ELSE ' — within budget' END || {nl} AS block
+      FROM (SELECT CAST(sum((strlen(body) + 3) // 4) AS BIGINT) AS t FROM legible)
+      UNION ALL SELECT 60, upper(path) || chr(1) || path, {block})
+      SELECT row_number() OVER (ORDER BY section, key) AS ord, block FROM lines"""
+
+
 def digest() -> str:
     """The whole digest pack, tree included."""
     d = digest_key()
@@ -474,6 +487,7 @@ def statements() -> dict[str, str]:
         "capped_findings": capped_findings(),
         "layout_classic": classic(),
         "layout_gitingest": digest(),
+        "layout_markdown_compact": markdown_compact(),
         "records": records(),
         "finding_line": f"WITH {SCAN} SELECT path, rule_id, start, {LINE} AS line FROM hits",
         "xml_clean": "SELECT doc_id, replace(replace(text, 'e', ''), 't', '') AS text FROM documents",
