@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from satchel.llm import quality, setsketch
+from satchel.llm import bpe, chat, credentials, decontaminate, langid, lines, quality, setsketch, surrogates, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +23,68 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
 
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    model = langid.learn(docs.where("NOT held_out"))
+    return docs.select("doc_id", "held_out", langid.predict(F.col("text"), model).alias("v")).select("doc_id", "held_out", "v.*")
+
+
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.resolve(docs, lines.begin(docs)).select(
+        "doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("lines.text", 256).alias("kept_sha256"))
+
+
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    file = bpe.load(spark, vocabulary or vocabulary_path())
+    return table(spark, sf_dir, "documents").select("doc_id", bpe.digests(F.col("text"), file).alias("v")).select("doc_id", "v.*")
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.summary(chat.format_conversations(turns))
+
+
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return credentials.scan(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+#: The key of the registered query; a corpus has a secret one of its own.
+KEY = "a key for the given tables"
+
+
+def pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace(docs, KEY).select("doc_id", "text", "entities.*")
+
+
+def warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_pages(warc.archived(spark, warc.page_records(table(spark, sf_dir, "pages"))))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules,
+        "op2_decontamination": decontamination,
+        "op3_language_id": language_id,
         "op4_near_dedup": near_dedup,
+        "op5_line_dedup": line_dedup,
+        "op6_bpe": tokens,
+        "op7_chat_format": chat_format,
+        "op8_pii_surrogates": pii_surrogates,
+        "op9_secret_scan": secret_scan,
+        "op10_warc": warc_archives,
     }
