@@ -41,10 +41,10 @@ REGISTERS, BASE = 256, 1.2
 RATE, TOP = 20.0, 255
 SHINGLE = 5
 MISSED = 1e-5
-#: Members of a block in step 4.
-BLOCK = 512
+#: Members of a block in step 4; pairs that are estimated at once.
+BLOCK, SLICE = 256, 500
 #: Hashed words that a worker remembers.
-MEMORY = 500_000
+MEMORY = 200_000
 _MULTIPLIERS = (np.random.default_rng(20).integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
 
@@ -165,14 +165,13 @@ def _confirm(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            if not x["a"]:
-                continue
-            ra, rb = (np.frombuffer(b"".join(x[k]), np.uint8).reshape(-1, REGISTERS) for k in ("regs_a", "regs_b"))
-            sizes = [np.array([len(s) // 8 for s in x[k]]) for k in ("set_a", "set_b")]
-            likely = likely_similarity((ra > rb).sum(1), (ra < rb).sum(1), *sizes)
-            good = [k for k in np.flatnonzero(likely >= least) if _linked(_set(x["set_a"][k]), _set(x["set_b"][k]), percent)]
-            yield pa.record_batch([pa.array([x[n][k] for k in good], pa.int64()) for n in ("a", "b")], ["a", "b"])
+            for at in range(0, batch.num_rows, SLICE):
+                x = {n: batch.column(n).slice(at, SLICE).to_pylist() for n in batch.schema.names}
+                ra, rb = (np.frombuffer(b"".join(x[k]), np.uint8).reshape(-1, REGISTERS) for k in ("regs_a", "regs_b"))
+                sizes = [np.array([len(s) // 8 for s in x[k]]) for k in ("set_a", "set_b")]
+                likely = likely_similarity((ra > rb).sum(1), (ra < rb).sum(1), *sizes)
+                good = [k for k in np.flatnonzero(likely >= least) if _linked(_set(x["set_a"][k]), _set(x["set_b"][k]), percent)]
+                yield pa.record_batch([pa.array([x[n][k] for k in good], pa.int64()) for n in ("a", "b")], ["a", "b"])
 
     return run
 
@@ -211,7 +210,8 @@ def _within_blocks(percent: int):
         out = []
         if firsts:
             first, second, count = np.concatenate(firsts), np.concatenate(seconds), np.concatenate(counts, axis=1)
-            likely = likely_similarity(count[0], count[1], sizes[first], sizes[second])
+            likely = np.concatenate([likely_similarity(count[0, k:k + 20_000], count[1, k:k + 20_000], sizes[first[k:k + 20_000]], sizes[second[k:k + 20_000]])
+                                     for k in range(0, len(first), 20_000)])
             for k in np.flatnonzero(likely >= least):
                 i, j = first[k], second[k]
                 if find(roots[i]) != find(roots[j]) and _linked(sets[i], sets[j], percent):
