@@ -256,8 +256,11 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     def rebuilt(found: Column) -> Column:
         new = F.transform(found, lambda x: lay(x["e"]["kind"], x["m"], surrogate_form(x["e"]["kind"], x["e"]["form"], F.lit(key), attempt_of(x["m"]))))
         whole = F.array_join(F.zip_with(F.split(text, ANY), new, lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-        counts = [F.size(F.filter(found, lambda x, k=k: x["e"]["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
-        return F.struct(F.when(F.size(found) > 0, whole).otherwise(text).alias("text"), F.size(found).cast("bigint").alias("n_entities"), *counts)
+
+        def count(kind: str) -> Column:
+            return F.size(F.filter(found, lambda x: x["e"]["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+        return F.struct(F.when(F.size(found) > 0, whole).otherwise(text).alias("text"), F.size(found).cast("bigint").alias("n_entities"), *map(count, KINDS))
 
     done = docs_.select(*(docs[c] for c in docs.columns), F.element_at(F.transform(F.array(F.coalesce(parts, F.array().cast(
         "array<struct<m: string, e: struct<kind: string, form: string>>>"))), rebuilt), 1).alias(at))
