@@ -365,11 +365,12 @@ def decode(ids: Column, file, as_bytes: bool = False) -> Column:
     return F.arrow_udf(back, "string").asNondeterministic()(ids)
 
 
-def digests(text: Column, file) -> Column:
-    """``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of a text, encoded and decoded piece by piece."""
+def digests(text: Column, file, with_ids: bool = False) -> Column:
+    """``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of a text, encoded and decoded piece by piece; with ``ids`` if asked for."""
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
     def run(column: pa.Array) -> pa.Array:
-        vocabulary, rows = Vocabulary.of(file.value), []
+        vocabulary, rows, found, ends = Vocabulary.of(file.value), [], [], [0]
         for value in column:
             n, of_ids, of_text, state = 0, hashlib.sha256(), hashlib.sha256(), TokenText(vocabulary)
             for part in vocabulary.encode(value.as_py() or ""):
@@ -379,9 +380,15 @@ def digests(text: Column, file) -> Column:
                     ids = array("I")
                     ids.frombytes(part[k:k + 4 * SLICE])
                     of_text.update(state.feed(ids).encode())
+                if with_ids:
+                    found.append(part)
             of_text.update(state.finish().encode())
             rows.append((n, of_ids.hexdigest(), of_text.hexdigest()))
-        return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.string()) for k in (1, 2))],
-                                          ["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return F.arrow_udf(run, "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>").asNondeterministic()(text)
+            ends.append(ends[-1] + n)
+        cells = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())]
+        if with_ids:
+            cells.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"))))
+        return pa.StructArray.from_arrays(cells, [*kinds, *(["ids"] if with_ids else [])])
+
+    schema = "struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + (", ids: array<int>" if with_ids else "") + ">"
+    return F.arrow_udf(run, schema).asNondeterministic()(text)
