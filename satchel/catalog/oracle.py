@@ -357,9 +357,9 @@ def statements() -> dict[str, str]:
         "snapshot_changes": f"""WITH {FILES}, {TALKS}, {AFTER}, diff AS (SELECT o.path AS o, n.path AS n, o.content AS oc, n.content AS nc
             FROM doc_files o FULL JOIN after_files n ON upper(o.path) = upper(n.path))
           SELECT 'docs' AS corpus, n AS path, 'modified' AS status, NULL AS previous_path FROM diff WHERE oc IS NOT NULL AND nc IS NOT NULL AND oc <> nc
-          UNION ALL SELECT 'docs', d.n, CASE WHEN g.p IS NULL THEN 'added' ELSE 'renamed' END, g.p FROM diff d
-            LEFT JOIN (SELECT oc, min(o) AS p FROM diff WHERE nc IS NULL GROUP BY oc) g ON g.oc = d.nc WHERE d.oc IS NULL
-          UNION ALL SELECT 'docs', o, 'deleted', NULL FROM diff WHERE nc IS NULL AND oc NOT IN (SELECT nc FROM diff WHERE oc IS NULL)""",
+          UNION ALL SELECT 'docs', coalesce(n, o), CASE WHEN o IS NULL THEN 'added' WHEN n IS NULL THEN 'deleted' ELSE 'renamed' END, CASE WHEN n IS NOT NULL THEN o END
+            FROM (SELECT o, oc, row_number() OVER (PARTITION BY oc ORDER BY o) AS r FROM diff WHERE n IS NULL) g
+            FULL JOIN (SELECT n, nc, row_number() OVER (PARTITION BY nc ORDER BY n) AS r FROM diff WHERE o IS NULL) f ON g.oc = f.nc AND g.r = f.r""",
         "change_counts": f"WITH {COUNTS} SELECT 'events' AS corpus, path, changes FROM counts",
         "last_commits": f"WITH {COUNTS} SELECT 'events' AS corpus, commit_id, rank FROM recent WHERE rank <= 100",
         "rule_lines": """SELECT corpus, layer, CAST(i - 1 AS BIGINT) AS ordinal, regexp_replace(lines[i], '\\s+$', '') AS pattern FROM (
@@ -468,8 +468,7 @@ def statements() -> dict[str, str]:
           placed AS (SELECT *, row_number() OVER (ORDER BY k > s, upper(path), start, length DESC, rule_id) AS place FROM n, share)
           SELECT path, rule_id, {LINE} AS line, {mask()} AS preview, row_number() OVER (ORDER BY upper(path), k > s, start, length DESC, rule_id) AS position
           FROM placed WHERE place <= 10""",
-        "preview": f"""WITH {BOTH}, {redact('every')} SELECT path, CASE WHEN size > 65536 THEN '[Preview withheld: this file is too large for a complete preview safety scan. Create the dump for full processing.]'
-          WHEN length(body) > 4000 THEN body[1:4000] || chr(13) || chr(10) || '[…preview truncated…]' ELSE body END AS content FROM bodies ORDER BY upper(path) LIMIT 3""",
+        "preview": f"""WITH {BOTH}, {redact('every')} SELECT path, CASE WHEN length(body) > 4000 THEN body[1:4000] || chr(13) || chr(10) || '[…preview truncated…]' ELSE body END AS content FROM bodies ORDER BY upper(path) LIMIT 3""",
         "path_parts": f"""WITH {FILES} SELECT path, {name('path')} AS name, {parent('path')} AS parent, {ext('path')} AS extension,
           CAST(len(string_split(path, '/')) AS BIGINT) AS depth, array_to_string({prefixes('path')}, '|') AS ancestors FROM doc_files""",
         "format_size": f"""SELECT l_orderkey, l_linenumber, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', floor(b * 10 / 1024 + 0.5) / 10)

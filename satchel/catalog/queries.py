@@ -42,17 +42,8 @@ def doc_paths(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).drop("content")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a few input files to all cores before per-body work.
-
-    Tables of many files are left alone, so at scale no body is shuffled for it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def scanned(spark: SparkSession, d: str, settings: RunSettings = RunSettings()) -> DataFrame:
-    return V.scan(spread(docs(spark, d)), settings)
+    return V.scan(docs(spark, d), settings)
 
 
 def findings(spark: SparkSession, d: str, settings: RunSettings = RunSettings()) -> DataFrame:
@@ -74,7 +65,7 @@ def blobs(spark: SparkSession, d: str) -> DataFrame:
         .when(kind == 7, F.encode(text, "ISO-8859-1"))
         .otherwise(utf8)
     )
-    return spread(docs(spark, d)).select("corpus", "path", content.alias("content"))
+    return docs(spark, d).select("corpus", "path", content.alias("content"))
 
 
 # ---- sources -----------------------------------------------------------------
@@ -318,7 +309,7 @@ def q_settings_overlay(spark, d):
 def q_capped_findings(spark, d):
     """Spans of bodies cut at a byte cap; values crossing the cap stay recognised."""
     s = RunSettings()
-    base = spread(docs(spark, d)).withColumn("allowed", budget.file_cap("size", FILE_CAP)).withColumn(
+    base = docs(spark, d).withColumn("allowed", budget.file_cap("size", FILE_CAP)).withColumn(
         "is_truncated", F.col("allowed") < F.col("size"))
     capped = budget.apply_caps(base)
     both = V.scan(V.scan(capped, s, "content").withColumnRenamed("findings", "__full"), s, "capped")
@@ -627,18 +618,10 @@ def q_stream_findings(spark, d):
 
 # ---- layouts -----------------------------------------------------------------------------
 
-_staged: dict[tuple, L.Pack] = {}
-
-
 def _pack(spark, d, layout: str) -> tuple[L.Pack, RunSettings]:
-    """A prepared pack of the documents; one staged copy serves all layouts of a session."""
+    """A prepared pack of the documents."""
     settings = RunSettings(layout=layout, scan_mode="Redact", hide_patterns=HIDE, exclude_globs=PRUNE, max_tokens=MAX_TOKENS)
-    family = layout if layout in ("repomix", "gitingest") else "xml" if layout.startswith("xml") else "text"
-    key = (spark.sparkContext.applicationId, d, family)
-    if key not in _staged:
-        corpus = spread(docs(spark, d)).select("corpus", "path", "content")
-        _staged[key] = prepare(corpus, settings)
-    return _staged[key], settings
+    return prepare(docs(spark, d).select("corpus", "path", "content"), settings), settings
 
 
 def q_layout(spark, d, layout):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 
 import pandas as pd
@@ -169,6 +170,23 @@ def _codec_decode(body: pd.Series, enc: pd.Series) -> pd.Series:
     return pd.Series([one(b, e) for b, e in zip(body, enc)], dtype=object)
 
 
+@F.pandas_udf(T.StringType())
+def _codec_capped(body: pd.Series, enc: pd.Series) -> pd.Series:
+    """The same code pages after a cut: what the cut leaves of a character becomes U+FFFD."""
+
+    def one(raw: bytes | None, codec: str | None) -> str | None:
+        if raw is None or codec is None:
+            return None
+        try:
+            reader = codecs.getincrementaldecoder(codec)("replace")
+        except LookupError:
+            return None
+        text = reader.decode(bytes(raw), False)
+        return text + ("\ufffd" if reader.getstate()[0] else "")
+
+    return pd.Series([one(b, e) for b, e in zip(body, enc)], dtype=object)
+
+
 NATIVE = ("UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16BE", "UTF-16LE", "UTF-32BE", "UTF-32LE")
 
 
@@ -202,7 +220,7 @@ def capped_text(content: Column | str, limit: Column | int) -> Column:
     return F.make_valid_utf8(F.substring(_c(content), F.lit(1), n.cast("int")).cast("string"))
 
 
-def capped_decode(content: Column | str, enc: Column, limit: Column) -> Column:
+def capped_decode(content: Column | str, enc: Column, limit: Column, rare_code_pages: bool = True) -> Column:
     """Decode the first ``limit`` bytes; whatever the cut damages becomes U+FFFD."""
     c = _c(content)
     skip = bom_length(F.when(bom_encoding(c).isNotNull(), enc))
@@ -217,5 +235,11 @@ def capped_decode(content: Column | str, enc: Column, limit: Column) -> Column:
         return F.when(enc == "UTF-8", plain).otherwise(F.coalesce(wide, plain))
 
     cut = F.substring(c, F.lit(1), limit.cast("int"))
+    if rare_code_pages:
+        rare = ~enc.isin(*NATIVE)
+        # Only rows of a code page Spark does not know send their bytes to Python.
+        other = _codec_capped(F.when(rare, cut), F.when(rare, enc))
+        return F.when(rare, F.coalesce(other, F.make_valid_utf8(cut.cast("string")))).otherwise(
+            capped_decode(content, enc, limit, rare_code_pages=False))
     return F.when(limit < skip, F.make_valid_utf8(cut.cast("string"))).otherwise(
         let(F.substring(cut, skip + 1, F.length(c)), lenient))

@@ -39,6 +39,29 @@ def _let(value: str, body: Callable[[str], str]) -> str:
     return f"element_at(transform(array({value}), {name} -> {body(name)}), 1)"
 
 
+_BLOCK = 64
+
+
+def _before(values: str, combine: str) -> str:
+    """For each element of an array of numbers, what ``combine`` (of ``a`` and ``x``) makes of those before it, from 0.
+
+    Blocks first, then inside each block: linear, where a growing array would be
+    copied at every element.
+    """
+    v, w, b, k, i = (_fresh(x) for x in ("v", "w", "b", "k", "i"))
+    fold = lambda part: f"aggregate({part}, 0, (a, x) -> {combine})"
+    numbers = f"sequence(0, (size({v}) - 1) div {_BLOCK})"
+    whole = f"transform({numbers}, {k} -> {fold(f'slice({v}, {k} * {_BLOCK} + 1, {_BLOCK})')})"
+    placed = (
+        f"flatten(transform({numbers}, {k} -> {_let(fold(f'slice({w}, 1, {k})'), lambda start: (
+            f'transform(sequence(0, least({_BLOCK}, size({v}) - {k} * {_BLOCK}) - 1), {i} -> '
+            f'aggregate(slice({v}, {k} * {_BLOCK} + 1, {i}), {start}, (a, x) -> {combine}))'))}))")
+    with_blocks = f"element_at(transform(array({whole}), {w} -> {placed}), 1)"
+    return (
+        f"element_at(transform(array({values}), {v} -> CASE WHEN size({v}) > 0 THEN {with_blocks} "
+        "ELSE cast(array() as array<int>) END), 1)")
+
+
 def _matches(text: str, pattern: str, rule_id: str, tier: int, prefix: str = "") -> str:
     """All matches of one regex with their offsets.
 
@@ -54,18 +77,26 @@ def _matches(text: str, pattern: str, rule_id: str, tier: int, prefix: str = "")
     )
 
     def located(found: str) -> str:
-        starts = (
-            f"aggregate(slice(zip_with(split({text}, {p}, -1), {found}, (g, h) -> "
-            f"named_struct('gap', length(g), 'len', length(h))), 1, size({found})), "
-            "named_struct('pos', 0, 'starts', cast(array() as array<int>)), "
-            "(acc, s) -> named_struct('pos', acc.pos + s.gap + s.len, "
-            "'starts', concat(acc.starts, array(acc.pos + s.gap))), acc -> acc.starts)"
-        )
+        gaps = f"transform(slice(split({text}, {p}, -1), 1, size({found})), g -> length(g))"
+        starts = _let(gaps, lambda g: (
+            f"zip_with({g}, {_before(f'zip_with({g}, {found}, (x, h) -> x + length(h))', 'a + x')}, (x, y) -> x + y)"))
         return f"CASE WHEN size({found}) > 0 THEN zip_with({found}, {starts}, {span}) ELSE {_EMPTY} END"
 
     return _let(f"regexp_extract_all({text}, {p}, 0)", located)
 
 
+def _clusters(spans: str, end: str) -> str:
+    """Spans sorted by start, cut where one begins at or after the ends of all before it.  ``end``: SQL over ``s``."""
+
+    def cut(x: str) -> str:
+        reach = _before(f"transform({x}, s -> {end})", "greatest(a, x)")
+        firsts = _let(reach, lambda r: f"filter(sequence(0, size({x}) - 1), i -> i = 0 OR get({x}, i).start >= get({r}, i))")
+        return _let(firsts, lambda f: (
+            f"transform({f}, (c, k) -> slice({x}, c + 1, coalesce(get({f}, k + 1), size({x})) - c))"))
+
+    return _let(spans, cut)
+
+
 # ---- validators ----------------------------------------------------------
 
 
@@ -161,11 +192,17 @@ def _if_several(spans: str, body: Callable[[str], str]) -> str:
 
 
 def _resolved(spans: str) -> str:
-    """Among automatic spans the surer tier wins, then the earlier, then the longer."""
+    """Among automatic spans the surer tier wins, then the earlier, then the longer.
+
+    Only spans of one cluster can be in each other's way, so each cluster is resolved alone.
+    """
     clear = "NOT exists(acc, k -> k.start < s.start + s.length AND s.start < k.start + k.length)"
-    return (
-        f"aggregate({_sorted(spans, ('tier', 'start', 'shorter'))}, {_EMPTY}, "
+    c = _fresh("c")
+    one = (
+        f"aggregate({_sorted(c, ('tier', 'start', 'shorter'))}, {_EMPTY}, "
         f"(acc, s) -> CASE WHEN {clear} THEN concat(acc, array(s)) ELSE acc END)")
+    clusters = _clusters(_sorted(spans, ("start", "shorter")), "s.start + s.length")
+    return f"flatten(transform({clusters}, {c} -> CASE WHEN size({c}) = 1 THEN {c} ELSE {one} END))"
 
 
 def _all(text: str, automatic: bool, scan_entropy: bool, allow: Sequence[str], hide: Sequence[str]) -> str:
@@ -249,18 +286,14 @@ def report(findings: str, text: str, names: dict[str, str], hide: Sequence[str]
 
 def _merged(spans: str) -> str:
     """Union of overlapping spans, in order; the surest rule names the union."""
-    kind = "array<struct<start:int,end:int,tier:int,rule_id:string>>"
     ordered = (
         f"array_sort(transform({spans}, s -> named_struct('start', s.start, 'end', s.start + s.length, "
         "'tier', s.tier, 'rule_id', s.rule_id)))")
-    last = "element_at(acc, -1)"
+    c = _fresh("c")
     joined = (
-        f"concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', {last}.start, "
-        f"'end', greatest({last}.end, s.end), 'tier', least({last}.tier, s.tier), "
-        f"'rule_id', CASE WHEN s.tier < {last}.tier THEN s.rule_id ELSE {last}.rule_id END)))")
-    return (
-        f"aggregate({ordered}, cast(array() as {kind}), (acc, s) -> CASE WHEN size(acc) > 0 "
-        f"AND s.start < {last}.end THEN {joined} ELSE concat(acc, array(s)) END)")
+        f"aggregate({c}, get({c}, 0), (acc, s) -> named_struct('start', acc.start, 'end', greatest(acc.end, s.end), "
+        "'tier', least(acc.tier, s.tier), 'rule_id', CASE WHEN s.tier < acc.tier THEN s.rule_id ELSE acc.rule_id END))")
+    return f"transform({_clusters(ordered, 's.end')}, {c} -> {joined})"
 
 
 def redacted(text: str, spans: str) -> Column:

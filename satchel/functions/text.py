@@ -8,7 +8,6 @@ from satchel.functions.paths import _c
 
 # Limits and markers of a file preview.
 PREVIEW_CHARS = 4000
-PREVIEW_MAX_BYTES = 64 * 1024
 PREVIEW_CUT = "\r\n[…preview truncated…]"
 
 _LINE_END = "\r\n|\r|\n"

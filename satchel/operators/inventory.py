@@ -10,18 +10,13 @@ from satchel.functions.rules import PathRule
 
 
 def once(df: DataFrame) -> DataFrame:
-    """A path counts once per corpus, ignoring case.
+    """A path counts once per corpus, ignoring case; the first spelling in byte order stays.
 
-    Only paths are read to see whether any repeats; without repeats no body moves.
+    For reviews and streams.  The spelling is chosen on paths; rows follow by a join.
+    Rows that repeat a path exactly are reduced to one of them.
     """
-    keys = df.groupBy("corpus", P.path_key("path")).agg(F.count(F.lit(1)).alias("n"))
-    if keys.filter("n > 1").isEmpty():
-        return df
-    return (
-        df.withColumn("path_key", P.path_key("path"))
-        .dropDuplicates(["corpus", "path_key"])
-        .drop("path_key")
-    )
+    first = df.groupBy("corpus", P.path_key("path")).agg(F.min("path").alias("path")).select("corpus", "path")
+    return df.join(first, ["corpus", "path"], "left_semi").dropDuplicates(["corpus", "path"])
 
 
 def directories(files: DataFrame) -> DataFrame:
@@ -58,7 +53,7 @@ def rule_lines(
     """
     layer = F.coalesce(*[F.when(F.col("path") == n, F.lit(i)) for i, n in enumerate(names)])
     from_files = (
-        corpus.filter(F.col("path").isin(*names))
+        corpus.filter(F.col("path").isin(*names) & F.col("content").isNotNull())
         .select(
             "corpus", layer.alias("layer"),
             F.posexplode(F.split(F.col("content").cast("string"), "\r\n|\n|\r")).alias("ordinal", "line"))

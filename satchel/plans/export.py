@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from satchel.functions import content as C, paths as P, rules as R, spans as S, text as X, tokens as K
 from satchel.operators import budget, inventory as I, layouts as L, selection, sensitive as V
-from satchel.plans.session import stage
+from satchel.plans.session import scratch, stage
 from satchel.plans.settings import RunSettings
 
 
@@ -17,7 +17,7 @@ class Selection:
     """Choices of one run that are not settings.
 
     ``overrides``: ``corpus, path, included``; ``types``: ``corpus, type_kind,
-    type_value`` taken when given; without either the configured types decide.
+    type_value`` taken when given; ``mode`` stands in for the mode of the settings.
     """
 
     overrides: DataFrame | None = None
@@ -66,11 +66,10 @@ def candidates(entries: DataFrame, s: RunSettings, selection_: Selection = Selec
             chosen.withColumn("__type", F.lit(True)), ["corpus", "type_kind", "type_value"], "left"
         ).drop("type_kind", "type_value")
         wanted = F.coalesce("__type", F.lit(False))
-    elif selection_.mode is not None or selection_.overrides is not None:
-        wanted = selection.mode_default(
-            selection_.mode or s.selection_mode, P.is_basic(p, list(s.extensions), list(s.dot_files)))
     else:
-        wanted = P.is_legible(p, list(s.extensions), list(s.dot_files))
+        by_hand = selection_.mode is not None or selection_.overrides is not None
+        basic = P.is_basic if by_hand else P.is_legible
+        wanted = selection.mode_default(selection_.mode or s.selection_mode, basic(p, list(s.extensions), list(s.dot_files)))
     files = files.withColumn("__wanted", wanted)
     if selection_.overrides is not None:
         files = selection.nearest_override(files, selection_.overrides, F.col("__wanted"))
@@ -81,11 +80,16 @@ def candidates(entries: DataFrame, s: RunSettings, selection_: Selection = Selec
     return files.filter(keep).drop("__wanted")
 
 
-def read_bodies(chosen: DataFrame, s: RunSettings) -> DataFrame:
-    """Candidates with ``text``; ``undecodable`` marks bytes their encoding does not allow."""
+def read_bodies(chosen: DataFrame, s: RunSettings, by_type: bool = True) -> DataFrame:
+    """Candidates with ``text``; ``undecodable`` marks bytes their encoding does not allow.
+
+    Files that no configured type vouches for (``by_type`` false) must also look like text.
+    """
     raw = chosen.select("corpus", "path", F.col("content").cast("binary").alias("content")).withColumn(
         "size", F.length("content").cast("bigint"))
     binary = C.is_binary("content") if s.detect_binary else F.lit(False)
+    if s.detect_binary and not by_type:
+        binary = binary | (C.text_like("content", "path") == "binary")
     read = C.decode(raw.withColumn("is_binary", binary))
     return read.withColumn("undecodable", ~F.col("is_binary") & F.col("text").isNull())
 
@@ -136,25 +140,32 @@ def prepare(
     guard: bool = True,
 ) -> L.Pack:
     """Everything a layout needs.  ``changes`` limits the run when the settings ask for it."""
-    clean = I.once(corpus.withColumn("path", P.normalize("path")))
+    # Paths that differ in case only are two files.
+    clean = corpus.withColumn("path", P.normalize("path"))
     # Paths only, read by several joins: kept as a narrow table.
     listing = stage(listing_of(clean), "listing")
     keep = exclusion(clean, listing, settings)
     entries = keep(listing)
     rows = clean if "is_dir" in clean.columns else clean.withColumn("is_dir", F.lit(False))
-    rows = keep(rows.select("corpus", "path", "is_dir", "content").filter(~F.col("is_dir")))
+    # What a source could not read has no content; its own message is the reason.
+    failed = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
+    rows = rows.select("corpus", "path", "is_dir", "content", failed.alias("error"))
+    unread = keep(rows.filter(F.col("error").isNotNull() | (~F.col("is_dir") & F.col("content").isNull()))).select(
+        "corpus", "path", F.coalesce("error", F.lit("has no content")).alias("reason"))
+    rows = keep(rows.filter(~F.col("is_dir") & F.col("content").isNotNull() & F.col("error").isNull()).drop("error"))
     if settings.only_changed and changes is not None:
         entries, rows = I.changed_only(entries, changes), I.changed_only(rows, changes)
     entries = stage(entries, "entries")
     # Selection runs on the rows that hold the bodies, which meet small tables only.
-    bodies = read_bodies(candidates(rows, settings, selection_), settings)
+    by_type = selection_.overrides is None and (selection_.mode or settings.selection_mode) == "Basic"
+    bodies = read_bodies(candidates(rows, settings, selection_), settings, by_type)
     # One pass reads, scans and protects; header sums, listings, errors and blocks
     # all read the staged result.
     staged = stage(finish_bodies(scan_bodies(bodies, settings), settings, vocab_path), "files")
     files = staged.filter(~F.col("undecodable")).drop("undecodable", "encoding")
     errors = staged.filter("undecodable").select(
-        "corpus", "path", F.concat(F.lit("could not be decoded as "), F.col("encoding")).alias("reason"))
-    if guard:
+        "corpus", "path", F.concat(F.lit("could not be decoded as "), F.col("encoding")).alias("reason")).unionByName(unread)
+    if guard and settings.max_findings > 0:
         V.guard_findings(files.withColumn("findings", F.col("report")), settings.max_findings)
     if settings.layout in ("repomix", "gitingest"):
         entries = entries.filter(~F.col("is_dir")).unionByName(
@@ -179,9 +190,12 @@ def export(
         settings = replace(settings, scan_mode="Redact")
     elif decision not in ("Keep", "Redact", "Cancel"):
         raise ValueError(f"Unknown decision: {decision}")
-    pack = prepare(corpus, settings, **options)
-    if settings.scan_mode == "Warn" and decision == "Cancel":
-        if not V.review_items_of(pack.files).isEmpty():
-            return None
-    L.write_pack(L.render(pack, settings), path)
-    return L.totals(pack)
+    with scratch(corpus.sparkSession, "export"):
+        pack = prepare(corpus, settings, **options)
+        if settings.scan_mode == "Warn" and decision == "Cancel":
+            if not V.review_items_of(pack.files).isEmpty():
+                return None
+        L.write_pack(L.render(pack, settings), path)
+        sums = L.totals(pack)
+        # One row per corpus; the staged tables it came from go now.
+        return corpus.sparkSession.createDataFrame(sums.collect(), sums.schema)

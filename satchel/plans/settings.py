@@ -23,7 +23,7 @@ SELECTION_MODES = ("Basic", "Thorough", "None")
 
 @dataclass(frozen=True)
 class RunSettings:
-    """What to select, protect and write.  Zero means no cap or no budget."""
+    """What to select, protect and write.  Zero means no cap, no budget and no limit of findings."""
 
     extensions: tuple[str, ...] = DEFAULT_EXTENSIONS
     dot_files: tuple[str, ...] = DEFAULT_DOT_FILES
@@ -46,7 +46,7 @@ class RunSettings:
     only_changed: bool = False
     token_encoding: str = "estimate"
     producer: str = "Satchel"
-    max_findings: int = 100_000
+    max_findings: int = 0
 
     def __post_init__(self) -> None:
         for value, known in (

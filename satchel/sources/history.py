@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from satchel.functions.paths import path_key
+from satchel.plans.running import ordinals
+from satchel.plans.session import stage
 
 
 def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """``(corpus, path, status, previous_path)`` for every path that differs.
 
-    A path that is new while its exact content vanished elsewhere is a rename;
-    only the destination is reported.  Contents meet as hashes, and hashes are
-    reduced to one row before they are joined, so a content shared by very many
-    files does not make a hot group.
+    A path that is new while its exact content vanished elsewhere is a rename; the
+    destination is reported.  Equal contents are paired one to one in the order of
+    their paths, and what is left over is added or deleted.  Contents meet as
+    hashes; places in that order are counted without a window over one content, so
+    a content shared by very many files does not make a hot group.
     """
 
     def narrow(df: DataFrame, side: str) -> DataFrame:
@@ -24,33 +27,25 @@ def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
             F.sha2(F.col("content").cast("binary"), 256).alias(f"{side}_hash"),
         )
 
-    both = narrow(before, "old").join(narrow(after, "new"), ["corpus", "path_key"], "full")
-    changed = both.filter(~F.col("old_hash").eqNullSafe(F.col("new_hash")))
-    gone = changed.filter("new_hash IS NULL")
-    fresh = changed.filter("old_hash IS NULL")
-    gone_hashes = gone.groupBy("corpus", F.col("old_hash").alias("hash")).agg(
-        F.min("old_path").alias("previous_path"))
-    fresh_hashes = fresh.groupBy("corpus", F.col("new_hash").alias("hash")).agg(F.lit(True).alias("moved"))
+    # Hashed once; what follows reads a narrow table.
+    both = stage(
+        narrow(before, "old").join(narrow(after, "new"), ["corpus", "path_key"], "full")
+        .filter(~F.col("old_hash").eqNullSafe(F.col("new_hash"))), "changes")
 
-    modified = changed.filter("old_hash IS NOT NULL AND new_hash IS NOT NULL").select(
+    def placed(side: str, other: str) -> DataFrame:
+        lone = both.filter(F.col(f"{other}_path").isNull()).select(
+            "corpus", F.col(f"{side}_hash").alias("hash"), F.col(f"{side}_path").alias(f"{side}_path"))
+        return ordinals(lone, [f"{side}_path"], "place", ["corpus", "hash"])
+
+    pairs = placed("new", "old").join(placed("old", "new"), ["corpus", "hash", "place"], "full")
+    status = F.when(F.col("old_path").isNull(), "added").when(F.col("new_path").isNull(), "deleted").otherwise("renamed")
+    moved = pairs.select(
+        "corpus", F.coalesce("new_path", "old_path").alias("path"), status.alias("status"),
+        F.when(status == "renamed", F.col("old_path")).alias("previous_path"))
+    modified = both.filter("old_path IS NOT NULL AND new_path IS NOT NULL").select(
         "corpus", F.col("new_path").alias("path"), F.lit("modified").alias("status"),
         F.lit(None).cast("string").alias("previous_path"))
-    added = (
-        fresh.withColumn("hash", F.col("new_hash"))
-        .join(gone_hashes, ["corpus", "hash"], "left")
-        .select(
-            "corpus", F.col("new_path").alias("path"),
-            F.when(F.col("previous_path").isNull(), "added").otherwise("renamed").alias("status"),
-            "previous_path")
-    )
-    deleted = (
-        gone.withColumn("hash", F.col("old_hash"))
-        .join(fresh_hashes, ["corpus", "hash"], "left_anti")
-        .select(
-            "corpus", F.col("old_path").alias("path"), F.lit("deleted").alias("status"),
-            F.lit(None).cast("string").alias("previous_path"))
-    )
-    return modified.unionByName(added).unionByName(deleted)
+    return modified.unionByName(moved)
 
 
 def last_commits(log: DataFrame, n: int = 100) -> DataFrame:
