@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, then exact similarity.
 
-An item is the bag of its five-word shingles, weighted by how often they occur; words are
-split at white space, A-Z count as a-z.  A document contains an item if one of its windows
+An item is the bag of its five-word shingles, weighted by how often they occur.  Words are
+runs of letters, digits and underscores in lower case, so neither capitals nor punctuation
+hide a passage.  A document contains an item if one of its windows
 of as many words as the item has a weighted Jaccard similarity of ``LEAST`` or more with
 it.  An item of fewer than five words is one shingle; a document shorter than an item is
 one window.
@@ -16,12 +17,13 @@ one window.
    two bits in some block, so every item within the radius is found.
 4. The exact similarity decides.
 
-Null and empty texts contain nothing; null and empty items are contained nowhere.  Equal
+Null texts and texts without words contain nothing; such items are contained nowhere.  Equal
 rows get equal answers.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -37,8 +39,11 @@ SHINGLE, LEAST, RADIUS = 5, 0.8, 23
 BLOCK_BYTES = 16 << 20
 
 
-def words_of(raw: bytes | None) -> list[bytes]:
-    return raw.lower().split() if raw else []
+_WORD = re.compile(r"\w+")
+
+
+def words_of(raw: bytes | None) -> list[str]:
+    return _WORD.findall(raw.decode("utf-8", "replace").lower()) if raw else []
 
 
 def _shingles(words: list) -> list[tuple]:
@@ -57,7 +62,7 @@ class _Bits(dict):
     """Shingle to its 64 signs."""
 
     def __missing__(self, shingle: tuple) -> np.ndarray:
-        h = np.frombuffer(xxhash.xxh3_64_digest(b"\x00".join(shingle)), np.uint8)
+        h = np.frombuffer(xxhash.xxh3_64_digest("\x00".join(shingle).encode()), np.uint8)
         if len(self) > 100_000:
             self.clear()
         out = self[shingle] = np.unpackbits(h).astype(np.int32) * 2 - 1
@@ -106,7 +111,7 @@ class Index:
             out = out * kind(self.powers[1] if self.exact else 0x9E3779B97F4A7C15) + part.astype(kind)
         return np.where(good, out, 0)
 
-    def _known(self, items: list[list[bytes]]) -> tuple[np.ndarray, list[list[int]]]:
+    def _known(self, items: list[list[str]]) -> tuple[np.ndarray, list[list[int]]]:
         """The numbers of all shingles, and the lengths of the items that each occurs in."""
         where: defaultdict[int, set[int]] = defaultdict(set)
         for ws in items:
