@@ -12,8 +12,11 @@ that are rare in prose, and three substring searches.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
+
 HIGH, MEDIUM, LOW, CUSTOM = 0, 1, 2, 3
 
 # ASCII word boundaries, stated so that they mean the same in every engine.
@@ -98,19 +101,90 @@ MIN_ENTROPY = 4.5
 CUSTOM_ID, CUSTOM_NAME = "custom-sensitive-value", "Custom sensitive value"
 
 
-_NESTED = re.compile(r"\((?:\?:)?[^()]*[+*}][^()]*\)[+*{]")
+# Parts of a pattern, the longest first: quotes, escapes, classes, group openings, repeats.
+_PARTS = re.compile(
+    r"(?P<quote>\\Q.*?(?:\\E|$))|(?P<escape>\\(?:[pPx]\{[^}]*\}|[pP].|x..|u....|k<[^>]*>|.))"
+    r"|(?P<cls>\[\^?\]?(?:\\.|\[[^]]*\]|[^]\\])*\])|(?P<open>\((?:\?(?:<[=!]|[=!:>]|<[A-Za-z][A-Za-z0-9]*>|[a-zA-Z-]*:))?)"
+    r"|(?P<flags>\(\?[a-zA-Z-]+\))|(?P<close>\))|(?P<bar>\|)|(?P<times>(?:[*+?]|\{\d+(?:,\d*)?\})[?+]?)|(?P<char>.)", re.S)
+_SAMPLE = [chr(c) for c in range(9, 127)] + ["é", "Ä", "ж", "中", "\u2028"]
+
+
+def _repeats(text: str) -> tuple[bool, bool]:
+    """Whether a repeat takes its part more than once, and whether how often can vary."""
+    if text[0] in "*+":
+        return True, True
+    if text[0] == "?":
+        return False, True
+    low, _, high = text[1:text.index("}")].partition(",")
+    most = high if "," in text else low
+    return most == "" or int(most) > 1, "," in text and most != low
+
+
+def runs_away(pattern: str, accepts: Callable[[str, str], bool]) -> bool:
+    """A group is repeated that itself repeats a part a varying number of times, or whose alternatives can begin alike.
+
+    ``accepts(part, char)`` tells whether a part of the pattern matches a character.
+    """
+    # Open groups: [a part of it varies, first parts of its alternatives, at the beginning of one].
+    stack: list[list] = [[False, [], True]]
+    last: tuple[bool, list] | None = None
+    for m in _PARTS.finditer(pattern):
+        kind, text = m.lastgroup, m[0]
+        top = stack[-1]
+        if kind == "flags":
+            continue
+        if kind == "open":
+            stack.append([False, [], True])
+            last = None
+            continue
+        if kind == "bar":
+            top[2], last = True, None
+            continue
+        if kind == "times":
+            many, varies = _repeats(text)
+            if last is not None and many and not text.endswith("+", 1):
+                inner, heads = last
+                if inner or any(accepts(a, c) and accepts(b, c) for k, a in enumerate(heads) for b in heads[:k] for c in _SAMPLE):
+                    return True
+            top[0] |= many and varies
+            continue
+        if kind == "close":
+            if len(stack) > 1:
+                inner, heads, _ = stack.pop()
+                top = stack[-1]
+                last = (inner, heads)
+                top[0] |= inner
+                if top[2]:
+                    top[1] += heads
+        else:
+            last = None
+            if top[2]:
+                top[1].append(text)
+        top[2] = False
+    return False
 
 
 def check_pattern(pattern: str, position: int) -> str:
-    """Validate a user pattern; errors name its position, never its text."""
+    """Validate a user pattern with the engine that runs it; errors name its position, never its text."""
     where = f"Pattern {position + 1}"
+    engine = SparkSession.active()._jvm.java.util.regex.Pattern
     try:
-        compiled = re.compile(pattern)
-    except re.error:
+        empty = engine.compile(pattern).matcher("").find()
+    except Exception:  # whatever the gateway raises holds the pattern's text
         raise ValueError(f"{where} is not a valid regular expression.") from None
-    if compiled.search("") is not None:
+    if empty:
         raise ValueError(f"{where} matches empty text.")
-    if _NESTED.search(pattern):
+    known: dict[tuple[str, str], bool] = {}
+
+    def accepts(part: str, char: str) -> bool:
+        if (part, char) not in known:
+            try:
+                known[part, char] = engine.compile(f"(?is){part}").matcher(char).lookingAt()
+            except Exception:  # a part that does not stand alone may match anything
+                known[part, char] = True
+        return known[part, char]
+
+    if runs_away(pattern, accepts):
         raise ValueError(f"{where} repeats a group that repeats itself and could run without end.")
     return pattern
 

@@ -117,8 +117,12 @@ def test_allowlist_and_entropy(spark):
     assert run(spark, [blob])[0] == [[]]
 
 
-def test_patterns_fail_closed():
-    for bad in ("[", "(a+)+$", "a*"):
+def test_patterns_fail_closed(spark):
+    good = [r"\p{Lu}{3}\d+", "(?<n>abc)", "(?:ab|cd)+", "(?:[a-z]|[0-9]){3}x", "(?>a+)b", "(a++)x", r"\Q(a+)+\E", "[(a+)+]{2}", "(?i)key-[0-9a-f]{8}",
+            "(?:[A-Z0-9]{4} ?){3}", "(?:a{2}){3}", "x(?=y+)z?"]
+    assert check_patterns(good) == good
+    for bad in ("[", "(a+)+$", "a*", "((a+))+$", "(a|a)+$", "(?P<n>abc)", "(a*b*)*c", "(?:a|ab)*c", "([a-z]+|x)*y", "(a{1,9}){2,}", "(.|x)+y", "(?:x+){5}", "(", "a{2",
+                r"(\w|\d)+!"):
         with pytest.raises(ValueError) as error:
             check_patterns(["fine", bad])
         assert "Pattern 2" in str(error.value) and bad not in str(error.value)
