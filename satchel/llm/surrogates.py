@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from satchel.functions.binding import let
 from satchel.llm.common import fresh
 from satchel.plans.session import stage
 
@@ -44,7 +45,7 @@ CYRILLIC_TITLES = {"m": "г-н|господин", "f": "г-жа|госпожа"}
 _UPPER, _NAME = r"\p{Lu}", r"\p{Lu}[\p{L}'’-]+"
 # Kinds in the order in which they are tried, and the characters that do not count.
 PATTERNS = (
-    ("email", r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+", ""),
+    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+", ""),
     ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])", r"[^\p{L}\p{N}]"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)", ""),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", r"\D"),
@@ -55,8 +56,9 @@ PATTERNS = (
 )
 KINDS = [k for k, _, _ in PATTERNS]
 ANY = "|".join(f"(?:{p})" for _, p, _ in PATTERNS)
-#: A quick look that every pattern passes, so most texts are read once.
-HINT = r"@|\d[\d .()-]{5}|\d\.\d|(?:" + "|".join([*TITLES.values(), *CYRILLIC_TITLES.values()]) + r")\.? \p{Lu}"
+# A quick look that every pattern passes, so most texts are read once: first letters before whole titles.
+_ALL_TITLES = [t for table in (TITLES, CYRILLIC_TITLES) for names in table.values() for t in names.split("|")]
+HINT = r"[0-9][0-9 .()-]{5}|[0-9]\.[0-9]|(?=[" + "".join(sorted({t[0] for t in _ALL_TITLES})) + "])(?:" + "|".join(_ALL_TITLES) + r")\.? \p{Lu}"
 #: Further attempts for an entity, at most; each makes a clash that much rarer.
 MOST_ATTEMPTS = 50
 
@@ -94,8 +96,7 @@ def _chars(text: Column) -> Column:
 
 def _ip(form: Column, digest: Column) -> Column:
     def octet(part: Column, i: Column) -> Column:
-        size = F.length(part)
-        n = _number(digest, i * 3, 1 << 16)
+        size, n = F.length(part), _number(digest, i * 3, 1 << 16)
         return (F.when(size == 1, F.pmod(n, F.lit(9)) + 1).when(size == 2, F.pmod(n, F.lit(90)) + 10).otherwise(F.pmod(n, F.lit(155)) + 100)).cast("string")
 
     return F.array_join(F.transform(F.split(form, r"\."), octet), ".")
@@ -111,30 +112,30 @@ def _luhn(digits: Column) -> Column:
 
 def _person(form: Column, key: Column, attempt: Column) -> Column:
     """``form``: gender, then the names in lower case.  Names keep their number; a name alone is a family name."""
-    parts = F.split(form, " ")
-    gender = F.element_at(parts, 1)
-    names = F.slice(parts, F.lit(2), F.size(parts) - 1)
 
-    def one(name: Column, i: Column) -> Column:
-        family = i == F.size(names) - 1
-        digest = _hash(key, F.when(family, "family").otherwise(gender), name, attempt)
-        russian = name.rlike(r"\p{IsCyrillic}")
+    def named(parts: Column) -> Column:
+        gender = F.element_at(parts, 1)
 
-        def pick(table: dict[str, list[str]]) -> Column:
-            made = None
+        def pick(digest: Column, table: dict[str, list[str]]) -> Column:
+            made = F
             for g, given in table.items():
                 value = F.element_at(F.array(*map(F.lit, given)), _number(digest, F.lit(5), len(given)) + 1)
-                made = F.when(gender == g, value) if made is None else made.when(gender == g, value)
+                made = made.when(gender == g, value)
             return made.otherwise(value)
 
-        def syllables(consonants: str, vowels: str) -> Column:
+        def syllables(digest: Column, consonants: str, vowels: str) -> Column:
             return F.initcap(F.concat(*(x for k in range(4) for x in (
                 _letter(consonants, _number(digest, F.lit(8 * k + 7), len(consonants))), _letter(vowels, _number(digest, F.lit(8 * k + 11), len(vowels)))))))
 
-        return F.when(family & russian, syllables("бвгдзклмнпрст", "аеио")).when(family, syllables("bdfgklmnprstvz", "aeiou")).when(
-            russian, pick(CYRILLIC)).otherwise(pick(GIVEN))
+        def one(name: Column, i: Column) -> Column:
+            family, russian = i == F.size(parts) - 2, name.rlike(r"\p{IsCyrillic}")
+            return let(_hash(key, F.when(family, "family").otherwise(gender), name, attempt), lambda digest: (
+                F.when(family & russian, syllables(digest, "бвгдзклмнпрст", "аеио")).when(family, syllables(digest, "bdfgklmnprstvz", "aeiou"))
+                .when(russian, pick(digest, CYRILLIC)).otherwise(pick(digest, GIVEN))))
 
-    return F.array_join(F.transform(names, one), " ")
+        return F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), one), " ")
+
+    return let(F.split(form, " "), named)
 
 
 def kind_of(mention: Column) -> Column:
@@ -162,14 +163,16 @@ def normal_form(kind: Column, mention: Column) -> Column:
 
 
 def surrogate_form(kind: Column, form: Column, key: Column, attempt: Column) -> Column:
-    """The normal form of the surrogate."""
-    digest = _hash(key, kind, form, attempt)
-    changed = F.array_join(F.transform(_chars(form), lambda c, i: _by_class(c, digest, i)), "")
-    last = F.length(F.regexp_extract(form, r"\.[^.]*$", 0))
-    return (F.when(kind == "email", F.concat(F.substring(changed, F.lit(1), F.length(form) - last), F.substring(form, F.length(form) - last + 1, last)))
-            .when(kind == "ip", _ip(form, digest)).when(kind == "card", _luhn(changed))
-            .when(kind == "iban", F.concat(F.substring(form, 1, 2), F.substring(changed, F.lit(3), F.length(form))))
-            .when(kind == "person", _person(form, key, attempt)).otherwise(changed))
+    """The normal form of the surrogate.  The hash is bound, so that it is computed once and not for each character."""
+
+    def made(digest: Column) -> Column:
+        changed = F.array_join(F.transform(_chars(form), lambda c, i: _by_class(c, digest, i)), "")
+        last = F.length(F.regexp_extract(form, r"\.[^.]*$", 0))
+        return (F.when(kind == "email", F.concat(F.substring(changed, F.lit(1), F.length(form) - last), F.substring(form, F.length(form) - last + 1, last)))
+                .when(kind == "ip", _ip(form, digest)).when(kind == "card", let(changed, _luhn))
+                .when(kind == "iban", F.concat(F.substring(form, 1, 2), F.substring(changed, F.lit(3), F.length(form)))).otherwise(changed))
+
+    return F.when(kind == "person", _person(form, key, attempt)).otherwise(let(_hash(key, kind, form, attempt), made))
 
 
 def lay(kind: Column, mention: Column, made: Column) -> Column:
@@ -196,12 +199,11 @@ def lay(kind: Column, mention: Column, made: Column) -> Column:
 
 def _mentions(text: Column) -> Column:
     """The mentions of a text in order; none for most texts after a quick look."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.contains(text, F.lit("@")) | text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def _entity(mention: Column) -> Column:
-    kind = kind_of(mention)
-    return F.struct(kind.alias("kind"), normal_form(kind, mention).alias("form"))
+    return let(kind_of(mention), lambda kind: F.struct(kind.alias("kind"), normal_form(kind, mention).alias("form")))
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -254,7 +256,8 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     parts = F.transform(_mentions(text), lambda m: F.struct(m.alias("m"), _entity(m).alias("e")))
 
     def rebuilt(found: Column) -> Column:
-        new = F.transform(found, lambda x: lay(x["e"]["kind"], x["m"], surrogate_form(x["e"]["kind"], x["e"]["form"], F.lit(key), attempt_of(x["m"]))))
+        new = F.transform(found, lambda x: let(
+            surrogate_form(x["e"]["kind"], x["e"]["form"], F.lit(key), attempt_of(x["m"])), lambda made: lay(x["e"]["kind"], x["m"], made)))
         whole = F.array_join(F.zip_with(F.split(text, ANY), new, lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
 
         def count(kind: str) -> Column:
@@ -262,6 +265,7 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
 
         return F.struct(F.when(F.size(found) > 0, whole).otherwise(text).alias("text"), F.size(found).cast("bigint").alias("n_entities"), *map(count, KINDS))
 
-    done = docs_.select(*(docs[c] for c in docs.columns), F.element_at(F.transform(F.array(F.coalesce(parts, F.array().cast(
-        "array<struct<m: string, e: struct<kind: string, form: string>>>"))), rebuilt), 1).alias(at))
+    # Generated as rows, so that the fields that are taken from it do not each evaluate it anew.
+    found = F.coalesce(parts, F.array().cast("array<struct<m: string, e: struct<kind: string, form: string>>>"))
+    done = docs_.select(*(docs[c] for c in docs.columns), F.explode(F.transform(F.array(found), rebuilt)).alias(at))
     return done.select(*(F.col(at)["text"].alias(c) if c == "text" else F.col(c) for c in docs.columns), F.col(at).dropFields("text").alias(at))
