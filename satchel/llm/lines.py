@@ -34,7 +34,7 @@ from satchel.plans.session import stage
 LEAST_CHARS, LEAST_DOCS = 40, 5
 #: Filters are broadcast up to so many bytes.
 MOST_BROADCAST = 32 << 20
-#: Keys that a shard's filter is meant for; the number of shards follows from the number of keys.
+#: Frequent keys that a shard's filter is meant for.
 SHARD_KEYS = 20_000
 SLOTS, KICKS = 4, 500
 
@@ -167,13 +167,16 @@ def _filters(counts: DataFrame, least_docs: int) -> DataFrame:
     return counts.where(F.col("n_docs") >= least_docs).select("shard", "key").groupBy("shard").applyInArrow(make, "shard int, cells binary")
 
 
-def begin(docs: DataFrame, least_docs: int = LEAST_DOCS, expected_keys: int = 2_000_000) -> State:
+def begin(docs: DataFrame, least_docs: int = LEAST_DOCS, shards: int | None = None) -> State:
     """The state of a first set of documents.
 
-    A row is kept for each key and document, so that both can be taken out again.
+    A row is kept for each key and document, so that both can be taken out again.  Unless
+    given, the number of shards is such that none can hold more than ``SHARD_KEYS`` frequent
+    keys on average: each of them takes ``least_docs`` rows.  It stays when documents come and go.
     """
-    shards = max(1, expected_keys // SHARD_KEYS)
-    holders = stage(line_keys(docs).distinct().withColumn("shard", _shard(shards)), "holders")
+    rows = stage(line_keys(docs).distinct(), "holders")
+    shards = shards or 1 + rows.count() // (least_docs * SHARD_KEYS)
+    holders = rows.withColumn("shard", _shard(shards))
     counts = stage(_counted(holders), "counts")
     return State(holders, counts, stage(_filters(counts, least_docs), "filters"), shards, least_docs)
 

@@ -126,14 +126,14 @@ def answers(docs, state):
 def test_lines_are_reversible(spark):
     rows = line_rows()
     first, second = frame(spark, rows[:25]), frame(spark, rows[25:])
-    state = lines.begin(first, expected_keys=40_000)
+    state = lines.begin(first, shards=2)
     assert answers(first, state) == brute_lines(rows[:25])
     grown = lines.insert(state, second)
     assert answers(frame(spark, rows), grown) == brute_lines(rows)
     back = lines.delete(grown, frame(spark, [(i,) for i, _ in rows[10:]], "doc_id bigint"))
     assert answers(frame(spark, rows[:10]), back) == brute_lines(rows[:10])
     assert {(r.shard, bytes(r.key), r.n_docs) for r in back.counts.collect()} == {
-        (r.shard, bytes(r.key), r.n_docs) for r in lines.begin(frame(spark, rows[:10]), expected_keys=40_000).counts.collect()}
+        (r.shard, bytes(r.key), r.n_docs) for r in lines.begin(frame(spark, rows[:10]), shards=2).counts.collect()}
 
 
 def test_lines_without_broadcast(spark, monkeypatch):
