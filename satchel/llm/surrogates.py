@@ -6,7 +6,8 @@ so all mentions in all documents agree, whatever their punctuation:
 
 * email: letters by letters, digits by digits, the last label stays;
 * IPv4 address: each number by one of as many digits that is valid;
-* card: digits, the last one making a valid Luhn sum; phone: digits after the country code;
+* card: digits, the last one making a valid Luhn sum;
+* phone: digits; after a plus sign the country code, split from the digits alone, stays;
 * social security number and IBAN: digits by digits, letters by letters;
 * person after a title: the title stays; given names become given names of the gender that
   the title tells, the family name is made of syllables; script and capitals stay.
@@ -59,6 +60,8 @@ ANY = "|".join(f"(?:{p})" for _, p, _ in PATTERNS)
 # A quick look that every pattern passes, so most texts are read once: first letters before whole titles.
 _ALL_TITLES = [t for table in (TITLES, CYRILLIC_TITLES) for names in table.values() for t in names.split("|")]
 HINT = r"[0-9][0-9 .()-]{5}|[0-9]\.[0-9]|(?=[" + "".join(sorted({t[0] for t in _ALL_TITLES})) + "])(?:" + "|".join(_ALL_TITLES) + r")\.? \p{Lu}"
+# Fixed value: country codes of one and two digits; all others have three, and none begins another.
+COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 #: Further attempts for an entity, at most; each makes a clash that much rarer.
 MOST_ATTEMPTS = 50
 
@@ -158,7 +161,10 @@ def normal_form(kind: Column, mention: Column) -> Column:
     found = F
     for name, _, idle in PATTERNS[:-1]:
         lower = F.lower(mention)
-        found = found.when(kind == name, F.regexp_replace(lower, idle, "") if idle else lower)
+        plain = F.regexp_replace(lower, idle, "") if idle else lower
+        if name == "phone":
+            plain = F.when(mention.startswith("+"), F.regexp_replace(F.concat(F.lit("+"), plain), rf"^\+({COUNTRY})", "+$1 ")).otherwise(plain)
+        found = found.when(kind == name, plain)
     return found.otherwise(F.concat_ws(" ", _gender(mention), F.lower(F.regexp_replace(mention, r"^\S+ ", ""))))
 
 
@@ -168,17 +174,19 @@ def surrogate_form(kind: Column, form: Column, key: Column, attempt: Column) ->
     def made(digest: Column) -> Column:
         changed = F.array_join(F.transform(_chars(form), lambda c, i: _by_class(c, digest, i)), "")
         last = F.length(F.regexp_extract(form, r"\.[^.]*$", 0))
+        code = F.length(F.regexp_extract(form, r"^\+\d+ ", 0))
         return (F.when(kind == "email", F.concat(F.substring(changed, F.lit(1), F.length(form) - last), F.substring(form, F.length(form) - last + 1, last)))
                 .when(kind == "ip", _ip(form, digest)).when(kind == "card", let(changed, _luhn))
+                .when(kind == "phone", F.concat(F.substring(form, F.lit(1), code), F.substring(changed, code + 1, F.length(form))))
                 .when(kind == "iban", F.concat(F.substring(form, 1, 2), F.substring(changed, F.lit(3), F.length(form)))).otherwise(changed))
 
     return F.when(kind == "person", _person(form, key, attempt)).otherwise(let(_hash(key, kind, form, attempt), made))
 
 
 def lay(kind: Column, mention: Column, made: Column) -> Column:
-    """The surrogate in the form of the mention: its punctuation, capitals, title and country code."""
+    """The surrogate in the form of the mention: its punctuation, capitals and title."""
 
-    def over(idle: str) -> Column:
+    def over(idle: str, made: Column) -> Column:
         def at(c: Column, i: Column) -> Column:
             place = F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), idle, "")) if idle else i + 1
             new = F.substring(made, place, F.lit(1))
@@ -187,13 +195,10 @@ def lay(kind: Column, mention: Column, made: Column) -> Column:
 
         return F.array_join(F.transform(_chars(mention), at), "")
 
-    code = F.length(F.regexp_extract(mention, r"^\+\d{1,3}(?=[ .(-])", 0))
     found = F.when(kind == "ip", made).when(kind == "person", F.concat(F.regexp_extract(mention, r"^\S+ ", 0), made))
     for name, _, idle in PATTERNS[:-1]:
-        if name == "phone":
-            found = found.when(kind == name, F.concat(F.substring(mention, F.lit(1), code), F.substring(over(idle), code + 1, F.length(mention))))
-        elif name != "ip":
-            found = found.when(kind == name, over(idle))
+        if name != "ip":
+            found = found.when(kind == name, over(idle, F.regexp_replace(made, idle, "") if name == "phone" else made))
     return found.otherwise(mention)
 
 

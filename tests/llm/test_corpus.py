@@ -237,6 +237,16 @@ def test_clashing_surrogates_get_further_attempts(spark):
     assert not set(out) & {r.text for r in docs.collect()}
 
 
+def test_phone_surrogates_are_compared_as_printed(spark):
+    docs = frame(spark, [(1, "+15551234567"), (2, "+1 555 123 4567"), (3, "+1 (555) 123-4567"), (4, "+4930123456"), (5, "+49 30 123456"),
+                         *((100 + k, f"+1 {k // 100:02} {k % 100:02}") for k in range(0, 10_000, 16))])
+    out = {r.doc_id: r.text for r in surrogates.replace(docs, "k").collect()}
+    assert len({re.sub(r"\D", "", out[k]) for k in (1, 2, 3)}) == 1 and out[1].startswith("+1") and out[2].startswith("+1 ") and "+1 (" in out[3]
+    assert re.sub(r"\D", "", out[4]) == re.sub(r"\D", "", out[5]) and out[4].startswith("+49")
+    short = [t for k, t in out.items() if k >= 100]
+    assert len(set(short)) == len(short) and not set(short) & {r.text for r in docs.collect()}
+
+
 def test_surrogate_query_is_native(spark):
     docs = queries.table(spark, SF, "documents").select("doc_id", "text")
     for plan in (surrogates.replace(docs, "k"), queries.secret_scan(spark, SF), queries.chat_format(spark, SF)):
