@@ -1,7 +1,7 @@
 """Personal data replaced by keyed surrogates of the same type and form, in DataFrame functions only.
 
 An entity is a kind and a normal form (digits of a number, lower-case letters of an
-address or a name).  Its surrogate follows from a secret key, kind and normal form alone,
+address or a name; each given and family name is one of its own).  Its surrogate follows from a secret key, kind and normal form alone,
 so all mentions in all documents agree, whatever their punctuation:
 
 * email: letters by letters, digits by digits, the last label stays;
@@ -10,14 +10,18 @@ so all mentions in all documents agree, whatever their punctuation:
 * phone: digits; after a plus sign the country code, split from the digits alone, stays;
 * social security number and IBAN: digits by digits, letters by letters;
 * person after a title: the title stays; given names become given names of the gender that
-  the title tells, the family name is made of syllables; script and capitals stay.
+  most titles of the name tell, the family name is made of syllables; the script stays.
+  What a title has introduced is replaced in the whole text, also without the title.
 
 Each mention keeps its own punctuation, length (but for names) and case.
 
+Distinct names have distinct surrogates, so persons of one family keep one family name; a
+given name that finds none of the list free gets a made one behind it.
+
 Distinctness is checked over the corpus: entities whose surrogate another one has, or that
 is itself an entity of the corpus, get a further attempt until none is left.  Only distinct
 entities are compared; attempts other than the first, which are few, go back to the
-documents through a join.
+documents through a join, as do given names with titles of several genders.
 
 Null texts stay null and empty texts empty.  Texts without entities stay as they are.
 Equal texts get equal answers.
@@ -59,9 +63,12 @@ KINDS = [k for k, _, _ in PATTERNS]
 ANY = "|".join(f"(?:{p})" for _, p, _ in PATTERNS)
 # A quick look that every pattern passes, so most texts are read once: first letters before whole titles.
 _ALL_TITLES = [t for table in (TITLES, CYRILLIC_TITLES) for names in table.values() for t in names.split("|")]
+TITLE = r"^(?:" + "|".join(_ALL_TITLES) + r")\.? "
 HINT = r"[0-9][0-9 .()-]{5}|[0-9]\.[0-9]|(?=[" + "".join(sorted({t[0] for t in _ALL_TITLES})) + "])(?:" + "|".join(_ALL_TITLES) + r")\.? \p{Lu}"
 # Fixed value: country codes of one and two digits; all others have three, and none begins another.
 COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
+#: Attempts at a given name that stay within the list.
+LISTED_ATTEMPTS = 4
 #: Further attempts for an entity, at most; each makes a clash that much rarer.
 MOST_ATTEMPTS = 50
 
@@ -113,32 +120,30 @@ def _luhn(digits: Column) -> Column:
     return F.concat(F.substring(digits, F.lit(1), n - 1), F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10)).cast("string"))
 
 
-def _person(form: Column, key: Column, attempt: Column) -> Column:
-    """``form``: gender, then the names in lower case.  Names keep their number; a name alone is a family name."""
+def _person(family: bool, form: Column, gender: Column, key: Column, attempt: Column) -> Column:
+    """The surrogate of one name.  The first attempts at a given name are names of the list alone."""
 
-    def named(parts: Column) -> Column:
-        gender = F.element_at(parts, 1)
+    def made(digest: Column) -> Column:
+        russian = form.rlike(r"\p{IsCyrillic}")
 
-        def pick(digest: Column, table: dict[str, list[str]]) -> Column:
-            made = F
+        def pick(table: dict[str, list[str]]) -> Column:
+            found = F
             for g, given in table.items():
                 value = F.element_at(F.array(*map(F.lit, given)), _number(digest, F.lit(5), len(given)) + 1)
-                made = made.when(gender == g, value)
-            return made.otherwise(value)
+                found = found.when(gender == g, value)
+            return found.otherwise(F.element_at(F.array(*(F.lit(x) for given in table.values() for x in given)), _number(digest, F.lit(5), sum(map(len, table.values()))) + 1))
 
-        def syllables(digest: Column, consonants: str, vowels: str) -> Column:
+        def syllables(consonants: str, vowels: str) -> Column:
             return F.initcap(F.concat(*(x for k in range(4) for x in (
                 _letter(consonants, _number(digest, F.lit(8 * k + 7), len(consonants))), _letter(vowels, _number(digest, F.lit(8 * k + 11), len(vowels)))))))
 
-        def one(name: Column, i: Column) -> Column:
-            family, russian = i == F.size(parts) - 2, name.rlike(r"\p{IsCyrillic}")
-            return let(_hash(key, F.when(family, "family").otherwise(gender), name, attempt), lambda digest: (
-                F.when(family & russian, syllables(digest, "бвгдзклмнпрст", "аеио")).when(family, syllables(digest, "bdfgklmnprstvz", "aeiou"))
-                .when(russian, pick(digest, CYRILLIC)).otherwise(pick(digest, GIVEN))))
+        whole = F.when(russian, syllables("бвгдзклмнпрст", "аеио")).otherwise(syllables("bdfgklmnprstvz", "aeiou"))
+        if family:
+            return whole
+        first = F.when(russian, pick(CYRILLIC)).otherwise(pick(GIVEN))
+        return F.when(attempt < LISTED_ATTEMPTS, first).otherwise(F.concat(first, F.lit("-"), whole))
 
-        return F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), one), " ")
-
-    return let(F.split(form, " "), named)
+    return let(_hash(key, F.lit("family" if family else "given"), form, attempt), made)
 
 
 def kind_of(mention: Column) -> Column:
@@ -165,11 +170,16 @@ def normal_form(kind: Column, mention: Column) -> Column:
         if name == "phone":
             plain = F.when(mention.startswith("+"), F.regexp_replace(F.concat(F.lit("+"), plain), rf"^\+({COUNTRY})", "+$1 ")).otherwise(plain)
         found = found.when(kind == name, plain)
-    return found.otherwise(F.concat_ws(" ", _gender(mention), F.lower(F.regexp_replace(mention, r"^\S+ ", ""))))
+    return found.otherwise(_untitled(mention))
+
 
+def _untitled(mention: Column) -> Column:
+    """The names of a mention of a person in lower case, without possessive endings, which are no part of a name."""
+    return F.regexp_replace(F.lower(F.regexp_replace(mention, TITLE, "")), r"(?:['’]s|['’-]+)$", "")
 
-def surrogate_form(kind: Column, form: Column, key: Column, attempt: Column) -> Column:
-    """The normal form of the surrogate.  The hash is bound, so that it is computed once and not for each character."""
+
+def surrogate_form(kind: Column, form: Column, gender: Column, key: Column, attempt: Column) -> Column:
+    """The normal form of the surrogate, with its capitals for a name.  The hash is bound, so that it is computed once and not for each character."""
 
     def made(digest: Column) -> Column:
         changed = F.array_join(F.transform(_chars(form), lambda c, i: _by_class(c, digest, i)), "")
@@ -180,7 +190,7 @@ def surrogate_form(kind: Column, form: Column, key: Column, attempt: Column) ->
                 .when(kind == "phone", F.concat(F.substring(form, F.lit(1), code), F.substring(changed, code + 1, F.length(form))))
                 .when(kind == "iban", F.concat(F.substring(form, 1, 2), F.substring(changed, F.lit(3), F.length(form)))).otherwise(changed))
 
-    return F.when(kind == "person", _person(form, key, attempt)).otherwise(let(_hash(key, kind, form, attempt), made))
+    return F.when(kind == "family", _person(True, form, gender, key, attempt)).when(kind == "given", _person(False, form, gender, key, attempt)).otherwise(let(_hash(key, kind, form, attempt), made))
 
 
 def lay(kind: Column, mention: Column, made: Column) -> Column:
@@ -195,7 +205,8 @@ def lay(kind: Column, mention: Column, made: Column) -> Column:
 
         return F.array_join(F.transform(_chars(mention), at), "")
 
-    found = F.when(kind == "ip", made).when(kind == "person", F.concat(F.regexp_extract(mention, r"^\S+ ", 0), made))
+    found = F.when(kind == "ip", made).when(kind == "person", F.concat(
+        F.regexp_extract(mention, TITLE, 0), made, F.regexp_extract(mention, r"(?:['’]s|['’-]+)$", 0)))
     for name, _, idle in PATTERNS[:-1]:
         if name != "ip":
             found = found.when(kind == name, over(idle, F.regexp_replace(made, idle, "") if name == "phone" else made))
@@ -207,30 +218,88 @@ def _mentions(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("@")) | text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def _entity(mention: Column) -> Column:
-    return let(kind_of(mention), lambda kind: F.struct(kind.alias("kind"), normal_form(kind, mention).alias("form")))
+def _pieces(mention: Column, introduced: Column | None = None) -> Column:
+    """``kind, form, gender`` of what is replaced in a mention: each name of a person, else the whole.
+
+    ``introduced``: the pieces of the text's titled persons, which tell what a single name without a title is.
+    """
+
+    def of(kind: Column) -> Column:
+        def named(x: Column) -> Column:
+            names, gender, titled = F.split(x["form"], " "), x["gender"], mention.rlike(TITLE)
+
+            def piece(name: Column, i: Column) -> Column:
+                family = i == F.size(names) - 1
+                told = gender
+                if introduced is not None:
+                    same = F.filter(introduced, lambda k: k["form"] == name)
+                    family &= titled | (F.size(names) > 1) | (F.size(same) == 0) | F.exists(same, lambda k: k["kind"] == "family")
+                    first = F.get(F.filter(same, lambda k: k["kind"] == "given"), F.lit(0))["gender"]
+                    told = F.when(titled, gender).otherwise(F.coalesce(first, F.lit("n")))
+                return F.struct(F.when(family, "family").otherwise("given").alias("kind"), name.alias("form"), F.when(family, "").otherwise(told).alias("gender"))
+
+            return F.transform(names, piece)
+
+        form = normal_form(kind, mention)
+        return F.when(kind == "person", let(F.struct(form.alias("form"), _gender(mention).alias("gender")), named)).otherwise(
+            F.array(F.struct(kind.alias("kind"), form.alias("form"), F.lit("").alias("gender"))))
+
+    return let(kind_of(mention), of)
+
+
+def _introduced(mentions: Column) -> Column:
+    """The names that titles introduce, as pieces, and ``form`` of a whole person of several names with kind ``person``."""
+    titled = F.filter(mentions, lambda m: m.rlike(TITLE))
+    whole = F.transform(titled, lambda m: F.struct(F.lit("person").alias("kind"), _untitled(m).alias("form"), F.lit("").alias("gender")))
+    return F.array_distinct(F.concat(F.filter(whole, lambda x: x["form"].contains(" ")), F.flatten(F.transform(titled, lambda m: _pieces(m)))))
+
+
+def _with_names(introduced: Column) -> Column:
+    """The pattern of all mentions of a text whose titles introduce these names, longest first.  Names hold letters, apostrophes and dashes only."""
+    forms = F.array_sort(F.array_distinct(F.transform(introduced, lambda x: F.struct((-F.length(x["form"])).alias("n"), x["form"].alias("form")))))
+    return F.concat(F.lit(ANY + r"|(?:(?<![\p{L}\p{N}])(?=\p{Lu})(?iu:"), F.array_join(F.transform(forms, lambda x: x["form"]), "|"), F.lit(r")(?![\p{L}\p{N}]))"))
+
+
+def _found(text: Column, mentions: Column) -> Column:
+    """``m``, the mention, and ``pieces`` for all mentions of a text, those without titles too; and ``gaps``, the text between them."""
+
+    def placed(introduced: Column) -> Column:
+        def parts(ms: Column, known: Column | None) -> Column:
+            return F.transform(ms, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind"), _pieces(m, known).alias("pieces")))
+
+        def all_(pattern: Column) -> Column:
+            return F.struct(parts(F.regexp_extract_all(text, pattern, F.lit(0)), introduced).alias("parts"), F.split(text, pattern).alias("gaps"))
+
+        return F.when(F.size(introduced) > 0, let(_with_names(introduced), all_)).when(
+            F.size(mentions) > 0, F.struct(parts(mentions, None).alias("parts"), F.split(text, F.lit(ANY)).alias("gaps")))
+
+    return let(_introduced(mentions), placed)
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """The distinct ``kind, form`` of the corpus: distinct within documents and tasks before they are shuffled."""
+    """The distinct ``kind, form`` of the corpus, the ``gender`` that most mentions of a given name tell, and whether mentions differ in it (``mixed``).
+
+    Mentions are distinct within documents and tasks before they are shuffled.
+    """
     found = docs.select(F.explode(F.array_distinct(_mentions(F.col("text")))).alias("mention")).distinct()
-    return found.select(_entity(F.col("mention")).alias("e")).select("e.*").distinct()
+    pieces = found.select(F.explode(_pieces(F.col("mention"))).alias("e")).select("e.*")
+    told = pieces.groupBy("kind", "form").agg(*(F.count_if(F.col("gender") == g).alias(g) for g in "mfn"))
+    return told.select("kind", "form", F.when(F.col("kind") != "given", "").when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("n").alias("gender"),
+                       (F.least("m", F.lit(1)) + F.least("f", F.lit(1)) + F.least("n", F.lit(1)) > 1).alias("mixed"))
 
 
 def attempts(known: DataFrame, key: str) -> DataFrame:
-    """``kind, form, attempt`` of the entities that need another attempt than the first.
+    """``kind, form, gender, attempt`` of the entities that need another attempt than the first, or whose mentions differ in gender.
 
     An entity gives way if its surrogate is an entity of the corpus, or if one of smaller
     normal form has it too.
     """
-    # Names are compared without the gender that is part of their form.
-    shown = F.when(F.col("kind") == "person", F.regexp_replace("form", r"^\S+ ", "")).otherwise(F.col("form"))
-    own = stage(known.select("kind", "form", shown.alias("shown"), F.lit(0).alias("attempt")), "entities")
+    own = stage(known.withColumn("attempt", F.lit(0)), "entities")
     for _ in range(MOST_ATTEMPTS):
-        made = own.select("kind", "form", "attempt", F.lower(surrogate_form(F.col("kind"), F.col("form"), F.lit(key), F.col("attempt"))).alias("made"))
+        made = own.select("kind", "form", F.lower(surrogate_form(F.col("kind"), F.col("form"), F.col("gender"), F.lit(key), F.col("attempt"))).alias("made"))
         made = stage(made, "made")
         first = made.groupBy("kind", "made").agg(F.min("form").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "made", "first")
-        taken = own.select("kind", F.col("shown").alias("made")).distinct().withColumn("taken", F.lit(True))
+        taken = own.select("kind", F.col("form").alias("made"), F.lit(True).alias("taken"))
         again = stage(made.join(first, ["kind", "made"], "left").join(taken, ["kind", "made"], "left")
                       .where("taken OR form <> first").select("kind", "form"), "clashes")
         if not again.limit(1).count():
@@ -239,7 +308,7 @@ def attempts(known: DataFrame, key: str) -> DataFrame:
         own = stage(own.join(again, ["kind", "form"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("more", F.lit(0))).drop("more"), "entities")
     else:
         raise RuntimeError("Surrogates still clash.")
-    return own.where("attempt > 0").select("kind", "form", "attempt")
+    return own.where("attempt > 0 OR mixed").select("kind", "form", "gender", "attempt")
 
 
 def replace(docs: DataFrame, key: str) -> DataFrame:
@@ -248,29 +317,36 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     The column is a struct: ``n_entities`` mentions, and one count for each kind.
     """
     later = attempts(entities(docs), key)
-    at, side, other = fresh("entities", docs), fresh("attempts", docs), fresh("attempts_id", docs)
+    at, side, other, held = fresh("entities", docs), fresh("attempts", docs), fresh("attempts_id", docs), fresh("attempts_text", docs)
     has_later = bool(later.limit(1).count())
+    text, usual = F.col("text"), lambda x: F.struct(x["gender"].alias("gender"), F.lit(0).alias("attempt"))
     if has_later:
-        named = docs.select("doc_id", F.explode(F.array_distinct(_mentions(F.col("text")))).alias("mention"))
-        named = named.select("doc_id", "mention", _entity(F.col("mention")).alias("e")).select("doc_id", "mention", "e.*").join(later, ["kind", "form"])
-        named = named.groupBy(F.col("doc_id").alias(other)).agg(F.map_from_entries(F.collect_set(F.struct("mention", "attempt"))).alias(side))
-        docs_, attempt_of = docs.join(named, docs.doc_id == named[other], "left"), lambda m: F.coalesce(F.element_at(F.col(side), m), F.lit(0))
+        # By id and text, so that rows which share an id do not collect each other's entities; a null id is one too.
+        named = docs.select("doc_id", F.xxhash64("text").alias(held), F.explode(F.array_distinct(F.flatten(F.transform(_mentions(text), lambda m: _pieces(m))))).alias("e"))
+        named = named.select("doc_id", held, "e.kind", "e.form").distinct().join(later, ["kind", "form"])
+        named = named.groupBy(F.col("doc_id").alias(other), held).agg(F.map_from_entries(F.collect_list(
+            F.struct(F.concat_ws(":", "kind", "form"), F.struct("gender", "attempt")))).alias(side))
+        docs_ = docs.join(named, docs.doc_id.eqNullSafe(named[other]) & (F.xxhash64(docs.text) == named[held]), "left")
+
+        def answer(x: Column) -> Column:
+            return F.coalesce(F.element_at(F.col(side), F.concat_ws(":", x["kind"], x["form"])), usual(x))
     else:
-        docs_, attempt_of = docs, lambda m: F.lit(0)
-    text = F.col("text")
-    parts = F.transform(_mentions(text), lambda m: F.struct(m.alias("m"), _entity(m).alias("e")))
+        docs_, answer = docs, usual
+
+    def made(x: Column) -> Column:
+        return let(answer(x), lambda a: surrogate_form(x["kind"], x["form"], a["gender"], F.lit(key), a["attempt"]))
 
     def rebuilt(found: Column) -> Column:
-        new = F.transform(found, lambda x: let(
-            surrogate_form(x["e"]["kind"], x["e"]["form"], F.lit(key), attempt_of(x["m"])), lambda made: lay(x["e"]["kind"], x["m"], made)))
-        whole = F.array_join(F.zip_with(F.split(text, ANY), new, lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+        parts = F.coalesce(found["parts"], F.array().cast("array<struct<m: string, kind: string, pieces: array<struct<kind: string, form: string, gender: string>>>>"))
+        new = F.transform(parts, lambda x: let(F.array_join(F.transform(x["pieces"], made), " "), lambda whole: lay(x["kind"], x["m"], whole)))
+        whole = F.array_join(F.zip_with(found["gaps"], new, lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
 
         def count(kind: str) -> Column:
-            return F.size(F.filter(found, lambda x: x["e"]["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+            return F.size(F.filter(parts, lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
-        return F.struct(F.when(F.size(found) > 0, whole).otherwise(text).alias("text"), F.size(found).cast("bigint").alias("n_entities"), *map(count, KINDS))
+        return F.struct(F.when(F.size(parts) > 0, whole).otherwise(text).alias("text"), F.size(parts).cast("bigint").alias("n_entities"), *map(count, KINDS))
 
     # Generated as rows, so that the fields that are taken from it do not each evaluate it anew.
-    found = F.coalesce(parts, F.array().cast("array<struct<m: string, e: struct<kind: string, form: string>>>"))
+    found = let(F.coalesce(_mentions(text), F.array().cast("array<string>")), lambda ms: _found(text, ms))
     done = docs_.select(*(docs[c] for c in docs.columns), F.explode(F.transform(F.array(found), rebuilt)).alias(at))
     return done.select(*(F.col(at)["text"].alias(c) if c == "text" else F.col(c) for c in docs.columns), F.col(at).dropFields("text").alias(at))

@@ -247,6 +247,22 @@ def test_phone_surrogates_are_compared_as_printed(spark):
     assert len(set(short)) == len(short) and not set(short) & {r.text for r in docs.collect()}
 
 
+def test_persons_of_one_name_agree(spark):
+    given = [f"{a}{b}{c}o" for a in "BDFGK" for b in "aeiou" for c in "lmnr"]
+    docs = frame(spark, [(1, "Mr. John Smith came. Later Mr. Smith left, and Smith's friend John said: John Smith, SMITH; but smiths smith."), (2, "Dr. Anna Smith"), (3, "Mrs. Anna Smith"),
+                         (4, "Smith alone"), (None, "Mr. Boro Smith’s"), *((100 + k, f"Mr {x} Smith") for k, x in enumerate(given)), (5, "Ms Zola Jones, mail Jones@x.example.com Jones")])
+    rows = surrogates.replace(docs, "k").collect()
+    out = {r.doc_id: r.text for r in rows}
+    john, smith = re.match(r"Mr\. (\S+) (\S+) came", out[1]).groups()
+    assert out[1] == f"Mr. {john} {smith} came. Later Mr. {smith} left, and {smith}'s friend {john} said: {john} {smith}, {smith}; but smiths smith."
+    assert out[2].split()[1:] == out[3].split()[1:] and out[2].split()[1].split("-")[0] in surrogates.GIVEN["f"] and out[3].endswith(smith)
+    assert out[4] == "Smith alone" and next(r for r in rows if r.doc_id == 1).entities.n_person == 6
+    persons = [out[100 + k].split() for k in range(len(given))]
+    assert {p[2] for p in persons} == {smith} and len({p[1] for p in persons}) == len(given) and all(p[1].split("-")[0] in surrogates.GIVEN["m"] for p in persons)
+    assert out[None].split()[1:] == [out[100 + given.index("Boro")].split()[1], smith + "’s"]
+    assert "Jones" not in out[5] and out[5].split()[2].rstrip(",") == out[5].split()[-1]
+
+
 def test_surrogate_query_is_native(spark):
     docs = queries.table(spark, SF, "documents").select("doc_id", "text")
     for plan in (surrogates.replace(docs, "k"), queries.secret_scan(spark, SF), queries.chat_format(spark, SF)):
