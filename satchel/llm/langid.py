@@ -3,8 +3,8 @@
 A language is a distribution over hashed letter trigrams.  Expectation-maximisation
 finds each document's proportions of all languages; sets of the one, two, ... largest are
 then fitted again, and the set with the best penalised likelihood (log-likelihood less
-half of log n for each further language) is selected.  All documents of a slice of a
-batch step together.
+half of log n for each further language) is selected.  Sets grow as long as that rises,
+whatever their size.  All documents of a slice of a batch that still rise step together.
 
 Null texts and texts without letters are ``und`` with score 0.  Without any learned
 language every text is ``und``.  Equal texts get equal answers; ties go to the first
@@ -29,7 +29,8 @@ SAMPLE = 4000
 MOST_LANGUAGES = 500
 #: Characters of a batch that are fitted at once.
 SLICE = 1_500_000
-LARGEST_SET, STEPS = 3, 12
+#: Sets up to this size are tried for every document; a larger one while the size before it was the best yet.
+ALWAYS, STEPS = 3, 12
 
 
 @dataclass(frozen=True)
@@ -120,7 +121,7 @@ def _fit(prob: np.ndarray, count: np.ndarray, starts: np.ndarray, owner: np.ndar
     return share, np.add.reduceat(count * np.log((prob * share[owner]).sum(axis=1)), starts)
 
 
-def mixtures(raws: list[bytes | None], model: Model, largest: int = LARGEST_SET, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+def mixtures(raws: list[bytes | None], model: Model, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of each language in each text, and which texts have letters.
 
     A text with letters but without any trigram (one letter words only) gets equal proportions.
@@ -147,13 +148,22 @@ def mixtures(raws: list[bytes | None], model: Model, largest: int = LARGEST_SET,
     np.put_along_axis(rank, order, np.arange(langs)[None, :].repeat(len(docs), 0), axis=1)
     penalty = 0.5 * np.log(np.maximum(np.add.reduceat(count, starts), 2))
     best, chosen = np.full(len(docs), -np.inf), np.zeros((len(docs), langs))
-    for k in range(1, min(largest, langs) + 1):
-        start = np.where(rank < k, np.maximum(full, 1e-6), 0)
+    rising = np.arange(len(docs))
+    for k in range(1, langs + 1):
+        start = np.where(rank[rising] < k, np.maximum(full[rising], 1e-6), 0)
         start /= start.sum(axis=1, keepdims=True)
         share, fitted = _fit(prob, count, starts, owner, start, steps if k > 1 else 0)
-        better = fitted - penalty * (k - 1) > best
-        best = np.where(better, fitted - penalty * (k - 1), best)
-        chosen[better] = share[better]
+        gain = fitted - penalty[rising] * (k - 1)
+        better = gain > best[rising]
+        best[rising[better]] = gain[better]
+        chosen[rising[better]] = share[better]
+        if k >= ALWAYS:
+            if not better.any():
+                break
+            held = better[owner]
+            prob, count, rising = prob[held], count[held], rising[better]
+            sizes = np.diff(np.r_[starts, len(owner)])[better]
+            starts, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
     out[docs] = chosen
     return out, letters
 

@@ -98,6 +98,15 @@ def test_mixtures_find_both_languages(spark):
     assert 0.3 < found["en"] < 0.7 and 0.3 < found["fr"] < 0.7 and share[1].max() > 0.9 and not share[2:].any()
 
 
+def test_mixtures_find_four_languages(spark):
+    rows = duckdb.sql(f"SELECT lang, string_agg(text, ' ' ORDER BY doc_id) FROM '{SF}/documents.parquet' GROUP BY lang HAVING sum(length(text)) > 3000 ORDER BY lang").fetchall()[:5]
+    learned = langid.learn(queries.table(spark, SF, "documents"))
+    for n in (4, len(rows)):
+        share, _ = langid.mixtures([" ".join(t[:3000] for _, t in rows[:n]).encode(), rows[0][1][:3000].encode()], learned)
+        found = dict(zip(learned.names, share[0]))
+        assert all(0.5 / n < found[lang] < 2 / n for lang, _ in rows[:n]) and share[1].max() > 0.9
+
+
 def test_language_edges(spark):
     model = langid.learn(queries.table(spark, SF, "documents"))
     docs = frame(spark, EDGES)
