@@ -207,6 +207,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
         "doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("first_word"))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that contain an item; other rows as they were."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _clean(shared, least: float):
+    """Whether a text contains none of the broadcast items, for each text of a batch."""
+    index: list[Index] = []
+
+    def run(column: pa.Array) -> pa.Array:
+        # A task has its own list, so the index is built once in each.
+        if not index:
+            index.append(Index(shared.value, least))
+        return pa.array([not index[0].matches(x) for x in texts(column)], pa.bool_())
+
+    return run
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+    """``docs`` without the rows that contain an item; other rows as they were.  Each row answers for its own text, whatever its id."""
+    for items in blocks(benchmark):
+        clean = _clean(docs.sparkSession.sparkContext.broadcast(items), least)
+        docs = docs.where(F.arrow_udf(clean, "boolean").asNondeterministic()(F.col("text")))
+    return docs

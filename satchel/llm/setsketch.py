@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from satchel.llm.common import texts
+from satchel.llm.common import fresh, texts
 from satchel.llm.components import components
 from satchel.plans.session import stage
 
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Null and empty texts, and texts without words, have no set and are linked with nothing.
     Of equal texts the smallest doc_id stands for all.  Each row answers for its own text;
     rows that repeat both id and text get equal answers.  A row without id stays out: it
-    gets the component of its text if others have it, else null, and is kept if that is null.
+    gets the component of its text if others have it, else null, and is kept.
     """
     own = stage(sketches(docs), "sketches")
     filled = own.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -267,6 +267,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows whose text has a near-duplicate of smaller doc_id; their columns stay as they were."""
-    found = near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each group of near-duplicates, that of smallest doc_id; their columns stay as they were.
+
+    Each row is a document of its own, also where rows share an id: of equal ids in a group
+    one row stays.  Rows without id, and texts without words, are in no group.
+    """
+    row = fresh("row", docs)
+    own = stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    ids = own.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    found = near_duplicates(own.where("doc_id IS NOT NULL").select(F.col(row).alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("row"), "component_id")
+    first = found.join(ids, "row").groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.row").alias("row"))
+    kept = first.unionByName(ids.where("id IS NULL").select("row")).withColumnRenamed("row", row)
+    return own.join(kept, row, "left_semi").select(*docs.columns)

@@ -343,6 +343,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in last} == {r.doc_id for r in kept.collect()} and all(len(r.ids) == r.n_tokens for r in last)
 
 
+def test_filters_decide_by_row(spark):
+    one, two, other = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "nothing of the kind at all here")
+    docs = spark.createDataFrame([(3, one, 1), (5, one, 2), (5, two, 3), (6, two, 4), (5, two, 5), (7, other, 6), (7, other, 7), (None, "x", 8), (8, None, 9), (9, "", 10), (9, "", 11)],
+                                 "doc_id bigint, text string, row int")
+    got = sorted(r.row for r in setsketch.keep_one(docs).collect())
+    assert [k for k in got if k not in (3, 5, 6, 7)] == [1, 8, 9, 10, 11] and len({3, 5} & set(got)) == len({6, 7} & set(got)) == 1
+    bench = spark.createDataFrame([(1, one)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(3, one, 1), (3, two, 2), (None, f"so {one} it", 3), (None, two, 4), (None, None, 5)], "doc_id bigint, text string, row int")
+    assert sorted(r.row for r in decontaminate.without_leaks(docs, bench).collect()) == [2, 4, 5]
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     docs = spark.createDataFrame([(*e, "en", None, 1) for e in EDGES], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     for part in (docs, docs.limit(0)):
