@@ -13,7 +13,9 @@ so all mentions in all documents agree, whatever their punctuation:
   most titles of the name tell, the family name is made of syllables; the script stays.
   What a title has introduced is replaced in the whole text, also without the title.
 
-Each mention keeps its own punctuation, length (but for names) and case.
+Each mention keeps its own punctuation, length (but for names) and case.  Where the forms
+of a length are taken, later attempts are wider: any valid numbers of an address, a longer
+local part, more digits of a phone number, more syllables.
 
 Distinct names have distinct surrogates, so persons of one family keep one family name; a
 given name that finds none of the list free gets a made one behind it.
@@ -69,6 +71,8 @@ HINT = r"[0-9][0-9 .()-]{5}|[0-9]\.[0-9]|(?=[" + "".join(sorted({t[0] for t in _
 COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 #: Attempts at a given name that stay within the list.
 LISTED_ATTEMPTS = 4
+#: From this attempt on a surrogate may be longer than its entity, by one more character each time.
+WIDE = 4
 #: Further attempts for an entity, at most; each makes a clash that much rarer.
 MOST_ATTEMPTS = 50
 
@@ -104,10 +108,10 @@ def _chars(text: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(1)))
 
 
-def _ip(form: Column, digest: Column) -> Column:
+def _ip(form: Column, digest: Column, attempt: Column) -> Column:
     def octet(part: Column, i: Column) -> Column:
         size, n = F.length(part), _number(digest, i * 3, 1 << 16)
-        return (F.when(size == 1, F.pmod(n, F.lit(9)) + 1).when(size == 2, F.pmod(n, F.lit(90)) + 10).otherwise(F.pmod(n, F.lit(155)) + 100)).cast("string")
+        return (F.when(attempt >= WIDE, F.pmod(n, F.lit(256))).when(size == 1, F.pmod(n, F.lit(9)) + 1).when(size == 2, F.pmod(n, F.lit(90)) + 10).otherwise(F.pmod(n, F.lit(155)) + 100)).cast("string")
 
     return F.array_join(F.transform(F.split(form, r"\."), octet), ".")
 
@@ -134,8 +138,9 @@ def _person(family: bool, form: Column, gender: Column, key: Column, attempt: Co
             return found.otherwise(F.element_at(F.array(*(F.lit(x) for given in table.values() for x in given)), _number(digest, F.lit(5), sum(map(len, table.values()))) + 1))
 
         def syllables(consonants: str, vowels: str) -> Column:
-            return F.initcap(F.concat(*(x for k in range(4) for x in (
-                _letter(consonants, _number(digest, F.lit(8 * k + 7), len(consonants))), _letter(vowels, _number(digest, F.lit(8 * k + 11), len(vowels)))))))
+            first, more = (F.concat(*(x for k in ks for x in (
+                _letter(consonants, _number(digest, F.lit(8 * k + 7), len(consonants))), _letter(vowels, _number(digest, F.lit(8 * k + 11), len(vowels)))))) for ks in (range(4), range(4, 6)))
+            return F.initcap(F.concat(first, F.when(attempt >= WIDE, more).otherwise("")))
 
         whole = F.when(russian, syllables("бвгдзклмнпрст", "аеио")).otherwise(syllables("bdfgklmnprstvz", "aeiou"))
         if family:
@@ -181,12 +186,19 @@ def _untitled(mention: Column) -> Column:
 def surrogate_form(kind: Column, form: Column, gender: Column, key: Column, attempt: Column) -> Column:
     """The normal form of the surrogate, with its capitals for a name.  The hash is bound, so that it is computed once and not for each character."""
 
+    extra = F.greatest(attempt - (WIDE - 1), F.lit(0))
+    roomy = (F.when(kind == "email", F.replace(form, F.lit("@"), F.concat(F.repeat(F.lit("x"), extra), F.lit("@"))))
+             .when(kind == "phone", F.concat(form, F.repeat(F.lit("0"), extra))).otherwise(form))
+
     def made(digest: Column) -> Column:
+        return let(roomy, lambda wide: filled(wide, digest))
+
+    def filled(form: Column, digest: Column) -> Column:
         changed = F.array_join(F.transform(_chars(form), lambda c, i: _by_class(c, digest, i)), "")
         last = F.length(F.regexp_extract(form, r"\.[^.]*$", 0))
         code = F.length(F.regexp_extract(form, r"^\+\d+ ", 0))
         return (F.when(kind == "email", F.concat(F.substring(changed, F.lit(1), F.length(form) - last), F.substring(form, F.length(form) - last + 1, last)))
-                .when(kind == "ip", _ip(form, digest)).when(kind == "card", let(changed, _luhn))
+                .when(kind == "ip", _ip(form, digest, attempt)).when(kind == "card", let(changed, _luhn))
                 .when(kind == "phone", F.concat(F.substring(form, F.lit(1), code), F.substring(changed, code + 1, F.length(form))))
                 .when(kind == "iban", F.concat(F.substring(form, 1, 2), F.substring(changed, F.lit(3), F.length(form)))).otherwise(changed))
 
@@ -196,7 +208,7 @@ def surrogate_form(kind: Column, form: Column, gender: Column, key: Column, atte
 def lay(kind: Column, mention: Column, made: Column) -> Column:
     """The surrogate in the form of the mention: its punctuation, capitals and title."""
 
-    def over(idle: str, made: Column) -> Column:
+    def over(idle: str, mention: Column, made: Column) -> Column:
         def at(c: Column, i: Column) -> Column:
             place = F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), idle, "")) if idle else i + 1
             new = F.substring(made, place, F.lit(1))
@@ -208,8 +220,15 @@ def lay(kind: Column, mention: Column, made: Column) -> Column:
     found = F.when(kind == "ip", made).when(kind == "person", F.concat(
         F.regexp_extract(mention, TITLE, 0), made, F.regexp_extract(mention, r"(?:['’]s|['’-]+)$", 0)))
     for name, _, idle in PATTERNS[:-1]:
-        if name != "ip":
-            found = found.when(kind == name, over(idle, F.regexp_replace(made, idle, "") if name == "phone" else made))
+        if name == "phone":
+            digits = F.regexp_replace(made, idle, "")
+            longer = F.concat(mention, F.repeat(F.lit("0"), F.length(digits) - F.length(F.regexp_replace(mention, idle, ""))))
+            found = found.when(kind == name, let(longer, lambda m: over(idle, m, digits)))
+        elif name == "email":
+            longer = F.replace(mention, F.lit("@"), F.concat(F.repeat(F.lit("x"), F.length(made) - F.length(mention)), F.lit("@")))
+            found = found.when(kind == name, let(longer, lambda m: over(idle, m, made)))
+        elif name != "ip":
+            found = found.when(kind == name, over(idle, mention, made))
     return found.otherwise(mention)
 
 

@@ -247,6 +247,15 @@ def test_phone_surrogates_are_compared_as_printed(spark):
     assert len(set(short)) == len(short) and not set(short) & {r.text for r in docs.collect()}
 
 
+def test_full_spaces_get_wider_surrogates(spark):
+    forms = [f"{a}.{b}.{c}.{d}" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
+    forms += [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"] + ["_@-.co"] + [f"+351 {k:02}" for k in range(100)]
+    out = [r.text for r in surrogates.replace(frame(spark, list(enumerate(forms))), "k").collect()]
+    assert len(set(out)) == len(forms) and not set(out) & set(forms)
+    assert sum(bool(re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", x)) and all(int(p) < 256 for p in x.split(".")) for x in out) == 6561
+    assert sum(bool(re.fullmatch(r"[a-z_]+@[a-z-]\.co", x)) for x in out) == 677 and sum(bool(re.fullmatch(r"\+351 \d{2,}", x)) for x in out) == 100
+
+
 def test_persons_of_one_name_agree(spark):
     given = [f"{a}{b}{c}o" for a in "BDFGK" for b in "aeiou" for c in "lmnr"]
     docs = frame(spark, [(1, "Mr. John Smith came. Later Mr. Smith left, and Smith's friend John said: John Smith, SMITH; but smiths smith."), (2, "Dr. Anna Smith"), (3, "Mrs. Anna Smith"),
