@@ -117,6 +117,38 @@ def warc() -> str:
     FROM q"""
 
 
+def source_divergence() -> str:
+    return """
+    WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+    w AS (
+      SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+      FROM d),
+    kept AS (SELECT lang, term, count(*) AS n_lang FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+    l AS (SELECT lang, count(*) AS v, sum(n_lang) AS total_lang FROM kept GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kept ON w.lang = kept.lang AND w.term = kept.term GROUP BY ALL),
+    t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+    p AS (
+      SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(t.total, 0) + 2 * l.v)::HUGEINT AS p,
+        1 + (1000000000::HUGEINT * (kept.n_lang + 2)) // (l.total_lang + 2 * l.v)::HUGEINT AS q
+      FROM g JOIN l ON l.lang = g.lang JOIN kept ON kept.lang = g.lang LEFT JOIN t ON t.lang = g.lang AND t.source = g.source
+        LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+    sums AS (
+      SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (
+      SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    found AS (
+      SELECT lang, source, 'pair' AS part, item, value FROM pairs
+      UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+
 def statements() -> dict[str, str]:
     return {
         "op4_near_dedup": near_dedup(),
@@ -124,4 +156,5 @@ def statements() -> dict[str, str]:
         "op7_chat_format": chat_format(),
         "op9_secret_scan": secret_scan(),
         "op10_warc": warc(),
+        "op13_source_divergence": source_divergence(),
     }

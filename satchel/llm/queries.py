@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from satchel.llm import bpe, chat, credentials, decontaminate, langid, lines, quality, setsketch, surrogates, warc
+from satchel.llm import bpe, chat, credentials, decontaminate, divergence, langid, lines, quality, setsketch, surrogates, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(warc.archived(spark, warc.page_records(table(spark, sf_dir, "pages"))))
 
 
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules,
@@ -87,4 +91,5 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii_surrogates": pii_surrogates,
         "op9_secret_scan": secret_scan,
         "op10_warc": warc_archives,
+        "op13_source_divergence": source_divergence,
     }
