@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from satchel.llm import bpe, chat, credentials, decontaminate, divergence, langid, lines, quality, setsketch, surrogates, warc
+from satchel.llm import balance, bpe, chat, credentials, decontaminate, divergence, langid, lines, quality, setsketch, surrogates, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,14 @@ def warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(warc.archived(spark, warc.page_records(table(spark, sf_dir, "pages"))))
 
 
+def balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"),
+        balance.text_link(F.col("text")).alias("links"))
+    return balance.assign(docs, F.col("links"), "doc_id").drop("links").withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
@@ -91,5 +99,6 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii_surrogates": pii_surrogates,
         "op9_secret_scan": secret_scan,
         "op10_warc": warc_archives,
+        "op12_balanced_shards": balanced_shards,
         "op13_source_divergence": source_divergence,
     }
