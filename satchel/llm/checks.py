@@ -117,6 +117,39 @@ def warc() -> str:
     FROM q"""
 
 
+def prefix_trie() -> str:
+    # crc32 of a conversation's decimal id, bit by bit.
+    step = "(CASE WHEN i % 8 = 0 THEN xor(a, ascii(substr(c, (i // 8 + 1)::INT, 1))::BIGINT) ELSE a END)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, range(8 * length(c))), lambda a, i: xor({step} // 2, ({step} % 2) * 3988292384)), 4294967295::BIGINT)"
+    return f"""
+    WITH t AS (
+      SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+      FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, {crc} % 9 AS h FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS c FROM t)),
+    r AS (
+      SELECT c.conv_id, 0 AS part, t.pos, md5(length(t.role) || ':' || t.role || t.text) AS id, strlen(t.text) AS size
+      FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.pos <= c.h
+      UNION ALL
+      SELECT c.conv_id, 1, t.pos, md5(length(t.role) || ':' || t.role || t.text), strlen(t.text)
+      FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+    p AS (
+      SELECT conv_id, string_agg(id, '') OVER w AS path, count(*) OVER w AS depth, size FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)
+      UNION ALL SELECT conv_id, '', 0, 0 FROM c),
+    n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(size) AS saved FROM p GROUP BY path, depth),
+    kids AS (SELECT path[:32 * (depth - 1)] AS path, count(*) AS n FROM n WHERE depth > 0 GROUP BY 1),
+    below AS (
+      SELECT path[:32 * d] AS path, count(*) FILTER (WHERE k IS NULL) AS n_leaves, sum(saved) AS saved_tokens
+      FROM (SELECT n.path, n.saved, kids.n AS k, unnest(range(n.depth + 1)) AS d FROM n LEFT JOIN kids USING (path)) GROUP BY 1),
+    ends AS (
+      SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+      FROM (SELECT conv_id, arg_max(path, depth) AS path FROM p GROUP BY conv_id) GROUP BY path)
+    SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, below.n_leaves,
+      below.saved_tokens::BIGINT AS saved_tokens, coalesce(ends.ends_sha256, sha256('')) AS ends_sha256
+    FROM n JOIN below USING (path) LEFT JOIN kids USING (path) LEFT JOIN ends USING (path)
+      LEFT JOIN n up ON n.depth > 0 AND up.path = n.path[:32 * (n.depth - 1)]"""
+
+
 def source_divergence() -> str:
     return """
     WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
@@ -156,5 +189,6 @@ def statements() -> dict[str, str]:
         "op7_chat_format": chat_format(),
         "op9_secret_scan": secret_scan(),
         "op10_warc": warc(),
+        "op11_prefix_trie": prefix_trie(),
         "op13_source_divergence": source_divergence(),
     }

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from satchel.llm import balance, bpe, chat, credentials, decontaminate, divergence, langid, lines, quality, setsketch, surrogates, warc
+from satchel.llm import balance, bpe, chat, credentials, decontaminate, divergence, langid, lines, quality, setsketch, surrogates, trie, warc
+from satchel.plans.session import stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +76,19 @@ def warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(warc.archived(spark, warc.page_records(table(spark, sf_dir, "pages"))))
 
 
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations rebuilt so that they share beginnings: the first h turns of the nearest
+    smaller multiple of five, then their own."""
+    own = stage(trie.sequences(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), "conversations")
+    most = 8
+    head = own.where(F.col("conv_id") % 5 == 0).select(
+        F.col("conv_id").alias("b"), F.substring("key", 1, most * trie.WIDTH).alias("head"), F.slice("sizes", 1, most).alias("head_sizes"))
+    h = (F.crc32(F.col("conv_id").cast("string")) % (most + 1)).cast("int")
+    both = own.withColumn("h", h).withColumn("b", F.col("conv_id") - F.col("conv_id") % 5).join(head, "b", "left")
+    key, sizes = trie.spliced(F.col("head"), F.col("head_sizes"), F.col("key"), F.col("sizes"), F.col("h"))
+    return trie.nodes(both.select("conv_id", key.alias("key"), sizes.alias("sizes")))
+
+
 def balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
@@ -99,6 +113,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii_surrogates": pii_surrogates,
         "op9_secret_scan": secret_scan,
         "op10_warc": warc_archives,
+        "op11_prefix_trie": prefix_trie,
         "op12_balanced_shards": balanced_shards,
         "op13_source_divergence": source_divergence,
     }
