@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from satchel.functions import paths as P
+from satchel.sources import tree
 
 # The extension given to a document, by its id.
 DOC_EXTENSIONS = (".md", ".txt", ".py", ".json", ".log", "", ".min.js", ".cs")
@@ -22,13 +23,13 @@ def read_corpus(
     ``parquet``/``json``/``orc`` tables already hold ``corpus, path, content``.
     ``binaryFile`` reads a raw folder through Spark's own source, which never sees
     names that start with ``.`` or ``_``; ``tree`` sees every file and also
-    yields directory and error rows.
+    yields directory and error rows.  A tree is listed at once, in rounds of tasks; its files are read
+    by at least ``splits`` tasks where they hold enough bytes.
     """
     if format == "tree":
-        from satchel.sources.tree import TreeDataSource
-
-        spark.dataSource.register(TreeDataSource)
-        return spark.read.format("satchel_tree").options(path=path, corpus=corpus, splits=splits).load()
+        listing = tree.walk(spark, path, corpus)
+        held = listing.agg(F.sum("size")).first()[0] or 0
+        return tree.read_files(listing, path, max(1, min(tree.TASK_BYTES, held // splits + tree.OPEN_BYTES)))
     if format == "binaryFile":
         root = path.rstrip("/") + "/"
         raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
