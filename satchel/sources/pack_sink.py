@@ -1,43 +1,44 @@
-"""A sink that writes strings as they are: no byte is added, no file appears before all have succeeded.
+"""A sink that writes strings as they are: no byte is added, and a pack is whole or not there.
 
 ``df.write.format("satchel_pack").option("path", ...)`` takes ``corpus, value`` sorted within
-partitions.  Each task writes its rows of a corpus to one shard under a name of its own
-attempt; the driver gives the shards of successful attempts their names at the end and
-removes what other attempts left.  The folder may be local or in any store that Arrow's
-file systems know by URI; a target that exists is refused.
+partitions.  Each task writes its rows of a corpus to one shard; a manifest, written last, names
+the shards (``committer``).  ``read_pack`` follows it, and so do those who take the shards by the
+manifest's list; a job that died leaves no manifest.  The folder may be local or in any store that
+Arrow's file systems know by URI; a target that exists is refused.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from satchel.sources.committer import Write, committed, place
 
-def place(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system and the path in it; a plain path is local."""
-    return fs.FileSystem.from_uri(path if ":" in path.split("/")[0] else f"file://{path}")
+_NULL = "__HIVE_DEFAULT_PARTITION__"
 
 
 @dataclass
 class Shards(WriterCommitMessage):
-    names: list[tuple[str, str]]
+    names: list[str]
 
 
 class PackWriter(DataSourceArrowWriter):
-    def __init__(self, path: str) -> None:
-        self.path, self.run = path, f".writing-{uuid.uuid4().hex}"
+    def __init__(self, path: str, overwrite: bool) -> None:
+        if overwrite:
+            raise ValueError("A pack is never overwritten.")
+        self.path, self.own = path, Write(path)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Shards:
         store, target = place(self.path)
         task = TaskContext.get()
-        names: list[tuple[str, str]] = []
+        names: list[str] = []
         out = corpus = None
         for batch in iterator:
             for name, value in zip(batch.column("corpus").to_pylist(), batch.column("value").cast(pa.binary()).to_pylist()):
@@ -45,34 +46,20 @@ class PackWriter(DataSourceArrowWriter):
                     if out is not None:
                         out.close()
                     corpus = name
-                    folder = "corpus=" + quote(name if name is not None else "__HIVE_DEFAULT_PARTITION__", safe=" ")
-                    store.create_dir(f"{target}/{self.run}", recursive=True)
-                    own = f"{self.run}/{task.partitionId():06d}-{task.taskAttemptId()}-{len(names)}"
-                    names.append((own, f"{folder}/part-{task.partitionId():06d}.txt"))
-                    out = store.open_output_stream(f"{target}/{own}", compression=None)
+                    folder = "corpus=" + quote(name if name is not None else _NULL, safe=" ")
+                    store.create_dir(f"{target}/{folder}", recursive=True)
+                    names.append(f"{folder}/{self.own.name(task.partitionId(), task.taskAttemptId(), len(names), '.txt')}")
+                    out = store.open_output_stream(f"{target}/{names[-1]}", compression=None)
                 out.write(value or b"")
         if out is not None:
             out.close()
         return Shards(names)
 
     def commit(self, messages: list[Shards | None]) -> None:
-        store, target = place(self.path)
-        store.create_dir(target, recursive=True)
-        for own, name in (x for m in messages if m for x in m.names):
-            store.create_dir(f"{target}/{name.rsplit('/', 1)[0]}", recursive=True)
-            store.move(f"{target}/{own}", f"{target}/{name}")
-        self._clear(store, f"{target}/{self.run}")
+        self.own.commit([n for m in messages if m for n in m.names])
 
     def abort(self, messages: list[Shards | None]) -> None:
-        store, target = place(self.path)
-        self._clear(store, f"{target}/{self.run}")
-        if not store.get_file_info(fs.FileSelector(target, allow_not_found=True)):
-            self._clear(store, target)
-
-    @staticmethod
-    def _clear(store: fs.FileSystem, folder: str) -> None:
-        if store.get_file_info(folder).type == fs.FileType.Directory:
-            store.delete_dir(folder)
+        self.own.abort()
 
 
 class PackSink(DataSource):
@@ -84,7 +71,32 @@ class PackSink(DataSource):
         return "corpus string, value string"
 
     def writer(self, schema, overwrite: bool) -> PackWriter:
-        return PackWriter(self.options["path"])
+        return PackWriter(self.options["path"], overwrite)
+
+
+def read_pack(spark: SparkSession, path: str) -> DataFrame:
+    """``corpus, part, value``: the shards of a pack, whose values in the order of ``part`` are its text.
+
+    A folder without manifest is no pack.
+    """
+    names = committed(path)
+    if names is None:
+        raise FileNotFoundError(f"{path} holds no finished pack.")
+    rows = []
+    for part, name in enumerate(names):
+        corpus = unquote(name.split("/")[0].removeprefix("corpus="))
+        rows.append((None if corpus == _NULL else corpus, part, name))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = place(path)
+        for batch in batches:
+            for corpus, part, name in zip(*(c.to_pylist() for c in batch.columns)):
+                with store.open_input_stream(f"{folder}/{name}", compression=None) as file:
+                    yield pa.RecordBatch.from_arrays([pa.array([corpus], pa.string()), pa.array([part], pa.int32()), pa.array([file.read()], pa.binary()).cast(pa.string())], names=["corpus", "part", "value"])
+
+    shards = spark.createDataFrame(rows, "corpus string, part int, name string")
+    # One task for each shard.
+    return shards.repartitionById(max(1, len(rows)), "part").mapInArrow(read, "corpus string, part int, value string")
 
 
 def refuse_existing(path: str) -> None:
