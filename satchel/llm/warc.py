@@ -2,9 +2,11 @@
 
 ``df.write.format("warc").save(folder)`` writes an archive for each partition (a new one
 when it grows large); ``spark.read.format("warc").load(folder)`` reads each archive as one
-task.  Folders may be local, or in any store that Arrow's file systems know by URI.  A task
-writes under a name of its own attempt, and the driver renames at the end what succeeded,
-so lost executors leave no half archives.
+task.  Folders may be local, or in any store that Arrow's file systems know by URI.  Names hold the
+write's id and the attempt, and a manifest, written last, lists a write's archives: lost
+executors leave no half archives, a write adds to those before it, ``mode("overwrite")`` replaces
+them, and writers may run at the same time.  Archives that others put into the folder are read too;
+a folder that holds such is not overwritten.
 
 The reader holds one record: it inflates pieces of the file, takes the record's header,
 frames its block by Content-Length and compares the block's and the payload's SHA-1 with
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from satchel.plans.session import scratch_path
+from satchel.sources.committer import Write, committed, place
 
 #: Bytes of an archive after which the next one begins, bytes read and inflated at once.
 ARCHIVE_BYTES, READ_BYTES, INFLATE_BYTES = 512 << 20, 1 << 16, 1 << 20
@@ -158,28 +162,38 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple]:
             now = _Open()
 
 
-def _place(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 @dataclass
 class _Written(WriterCommitMessage):
     files: list[str]
 
 
+#: Names of archives that a writer here has made; all other archives are as they are found.
+_OWN = re.compile(r"part-\d{6}-\d{4}-[0-9a-f]{32}-\d+\.warc\.gz")
+
+
+def archives(path: str) -> list[str]:
+    """Names of the archives that are part of a folder."""
+    store, folder = place(path)
+    found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    others = [i.base_name for i in found if i.base_name.endswith(".warc.gz") and not _OWN.fullmatch(i.base_name)]
+    return sorted(others + (committed(path) or []))
+
+
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.own = path, Write(path, overwrite)
+        if overwrite and any(not _OWN.fullmatch(n) for n in archives(path)):
+            raise ValueError(f"{path} holds archives of others; it is not overwritten.")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        store, folder = _place(self.path)
+        store, folder = place(self.path)
         store.create_dir(folder, recursive=True)
         task = TaskContext.get()
         files, out, size = [], None, 0
         for batch in iterator:
             for k in range(batch.num_rows):
                 if out is None:
-                    files.append(f"part-{task.partitionId():06d}-{len(files):04d}.warc.gz.{task.taskAttemptId()}.tmp")
+                    files.append(self.own.name(task.partitionId(), task.taskAttemptId(), len(files), ".warc.gz"))
                     out, size = store.open_output_stream(f"{folder}/{files[-1]}", compression=None), 0
                 data = member({n: batch.column(n)[k].as_py() for n in batch.schema.names})
                 out.write(data)
@@ -192,20 +206,10 @@ class WarcWriter(DataSourceArrowWriter):
         return _Written(files)
 
     def commit(self, messages: list[_Written | None]) -> None:
-        store, folder = _place(self.path)
-        store.create_dir(folder, recursive=True)
-        for name in (n for m in messages if m for n in m.files):
-            store.move(f"{folder}/{name}", f"{folder}/{name.rsplit('.', 2)[0]}")
-        # What is left belongs to attempts that were lost.
-        for info in store.get_file_info(fs.FileSelector(folder)):
-            if info.path.endswith(".tmp"):
-                store.delete_file(info.path)
+        self.own.commit([n for m in messages if m for n in m.files])
 
     def abort(self, messages: list[_Written | None]) -> None:
-        store, folder = _place(self.path)
-        for name in (n for m in messages if m for n in m.files):
-            if store.get_file_info(f"{folder}/{name}").type != fs.FileType.NotFound:
-                store.delete_file(f"{folder}/{name}")
+        self.own.abort()
 
 
 class WarcReader(DataSourceReader):
@@ -213,14 +217,13 @@ class WarcReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        store, folder = _place(self.path)
-        found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-        return [InputPartition(i.path) for i in sorted(found, key=lambda i: i.path) if i.path.endswith(".warc.gz")] or [InputPartition(None)]
+        folder = place(self.path)[1]
+        return [InputPartition(f"{folder}/{n}") for n in archives(self.path)] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition.value is None:
             return
-        store, _ = _place(self.path)
+        store, _ = place(self.path)
         kinds = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string()]
         names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
 
@@ -251,7 +254,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 PAGE = "urn:page:"
