@@ -1,9 +1,16 @@
 """Gitignore-style path rules as Column expressions.
 
-Rules are translated once, on the driver, to regular expressions; the data only
-ever meets literal regexes.  Neighbouring rules of the same polarity are merged
-into one alternation, so a list of a hundred ignore globs costs one regex
-evaluation per path instead of a hundred.
+Rules are translated once to regular expressions, and most of them to look-ups: a rule that is a
+plain name, a plain path or ``*.suffix`` of ASCII characters is an entry in a set, which a path
+meets by its own name, its whole and the suffixes of its name.  Only the rest stays regexes,
+neighbours of the same polarity merged into one alternation.  A list that is known when
+the plan is made becomes such sets in the plan (``ignored``); lists that come out of the data become
+maps from look-up keys to the number of the last rule (``rule_maps``, ``judged``), and regexes run only
+where a later rule than the one already found could still match.
+
+Rules ignore case as Java's Unicode case folding does: besides A-Z four other characters
+meet ASCII letters, and keys fold them alike.  Paths with a line feed, which regexes treat in
+their own way, are left to the regexes of all rules.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # The built-in folder-name exclusion, on a path that starts with a
 # backslash, and the pattern that switches it off.
@@ -26,11 +33,17 @@ _SPECIAL = set("\\.^$|?*+()[]{}#-&~ ")
 
 @dataclass(frozen=True)
 class PathRule:
-    """One translated rule; ``body`` is the regex without anchors or flags."""
+    """One translated rule; ``body`` is the regex without anchors or flags.
+
+    ``kind`` and ``key`` name the look-up that does the same: ``name``, ``suffix`` or ``path``; none for
+    rules that need their regex.
+    """
 
     body: str
     negate: bool = False
     dir_only: bool = False
+    kind: str | None = None
+    key: str | None = None
 
     @property
     def regex(self) -> str:
@@ -66,6 +79,28 @@ def _token_regex(m: re.Match) -> str:
     return _WILDCARDS[m.lastgroup]
 
 
+# What folds to an ASCII letter, and to which.
+_FOLDED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\u0130\u0131\u017f\u212a"
+_FOLDS_TO = "abcdefghijklmnopqrstuvwxyziisk"
+_PLAIN_NAME = re.compile(r"[ -~]+", re.A)
+
+
+def _look_up(text: str, floating: bool) -> tuple[str | None, str | None]:
+    """Kind and key of a rule that needs no regex."""
+    # In any folder: the same as a rule without a separator.
+    anywhere = text.startswith("**/")
+    while text.startswith("**/"):
+        text = text[3:]
+    floating = floating or anywhere
+    if floating and "/" in text:
+        return None, None
+    suffix = floating and text.startswith("*.")
+    literal = text[1:] if suffix else text
+    if not _PLAIN_NAME.fullmatch(literal) or any(c in literal for c in "*?["):
+        return None, None
+    return "suffix" if suffix else "name" if floating else "path", literal.lower()
+
+
 def translate(line: str) -> PathRule | None:
     """One ignore line; ``None`` for blanks and comments; ValueError when malformed."""
     text = line.rstrip()
@@ -81,7 +116,7 @@ def translate(line: str) -> PathRule | None:
     text = text[1:] if text.startswith("/") else text
 
     body = "".join(map(_token_regex, _TOKEN.finditer(text)))
-    rule = PathRule(("(?:.*/)?" if floating else "") + body, negate, dir_only)
+    rule = PathRule(("(?:.*/)?" if floating else "") + body, negate, dir_only, *_look_up(text, floating))
     try:
         re.compile(rule.regex)
     except re.error:
@@ -93,11 +128,48 @@ def compile_rules(lines: Iterable[str]) -> list[PathRule]:
     return [r for r in map(translate, lines) if r is not None]
 
 
-def _matches(path: Column, rules: list[PathRule]) -> Column:
+def folded(path: Column) -> Column:
+    """The key of a path for look-ups."""
+    return F.translate(path, _FOLDED, _FOLDS_TO)
+
+
+def _name(key: Column) -> Column:
+    return F.substring_index(key, "/", -1)
+
+
+def _suffixes(key: Column) -> Column:
+    """Each end of the name that begins with a dot: ``.min.js`` and ``.js`` of ``a.min.js``."""
+    parts = F.split(_name(key), r"\.")
+    return F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.when(
+        i <= F.size(parts), F.concat(F.lit("."), F.array_join(F.slice(parts, i, F.size(parts)), "."))))
+
+
+def _regex(path: Column, rules: list[PathRule]) -> Column:
     bodies = "|".join(dict.fromkeys(r.body for r in rules))
     return F.rlike(path, F.lit(f"{FLAGS}^(?:{bodies})$"))
 
 
+def _matches(path: Column, rules: list[PathRule]) -> Column:
+    """Any of the rules, by sets where there are such and by one regex for the rest."""
+    keys = {kind: list(dict.fromkeys(r.key for r in rules if r.kind == kind)) for kind in ("name", "suffix", "path")}
+    key = folded(path)
+    tests = []
+    if keys["name"]:
+        tests.append(_name(key).isin(keys["name"]))
+    if keys["path"]:
+        tests.append(key.isin(keys["path"]))
+    if keys["suffix"]:
+        tests.append(F.exists(_suffixes(key), lambda x: F.coalesce(x.isin(keys["suffix"]), F.lit(False))))
+    if rest := [r for r in rules if r.kind is None]:
+        tests.append(_regex(path, rest))
+    found = tests[0]
+    for test in tests[1:]:
+        found = found | test
+    if len(rest) == len(rules):
+        return found
+    return F.when(F.contains(path, F.lit("\n")), _regex(path, rules)).otherwise(found)
+
+
 def _block_matches(path: Column, is_dir: Column, rules: list[PathRule]) -> Column:
     anywhere = [r for r in rules if not r.dir_only]
     dirs = [r for r in rules if r.dir_only]
@@ -109,6 +181,52 @@ def _block_matches(path: Column, is_dir: Column, rules: list[PathRule]) -> Colum
     return tests[0] if len(tests) == 1 else tests[0] | tests[1]
 
 
+# Look-up maps hold, for each key, 2 * number of its last rule, one more if that rule re-includes;
+# for all paths and for directories.
+_LAST = T.MapType(T.StringType(), T.StructType([T.StructField("any", T.IntegerType()), T.StructField("dir", T.IntegerType())]))
+_REST = T.ArrayType(T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("regex", T.StringType()), T.StructField("dir_only", T.BooleanType())]))
+RULE_MAPS = T.StructType([T.StructField(n, _LAST) for n in ("names", "suffixes", "paths")] + [T.StructField(n, _REST) for n in ("rest", "every")])
+
+
+def rule_maps(rules: list[PathRule]) -> dict:
+    """One rule list, first rule first, as a value of ``RULE_MAPS``."""
+    out: dict = {"names": {}, "suffixes": {}, "paths": {}, "rest": [], "every": []}
+    kinds = {"name": "names", "suffix": "suffixes", "path": "paths"}
+    for number, rule in enumerate(rules, 1):
+        rank = 2 * number + rule.negate
+        row = {"rank": rank, "regex": FLAGS + rule.regex, "dir_only": rule.dir_only}
+        out["every"].append(row)
+        if rule.kind is None:
+            out["rest"].append(row)
+            continue
+        entry = out[kinds[rule.kind]].setdefault(rule.key, {"any": 0, "dir": 0})
+        entry["dir"] = rank
+        if not rule.dir_only:
+            entry["any"] = rank
+    return out
+
+
+def judged(path: Column, is_dir: Column, maps: Column) -> Column:
+    """Whether the last rule that matches excludes the path; ``maps`` as from ``rule_maps``, null: no rules."""
+    key = folded(path)
+
+    def rank(found: Column) -> Column:
+        return F.coalesce(F.when(is_dir, found["dir"]).otherwise(found["any"]), F.lit(0))
+
+    looked = F.greatest(
+        rank(maps["names"][_name(key)]), rank(maps["paths"][key]),
+        F.aggregate(_suffixes(key), F.lit(0), lambda a, x: F.greatest(a, F.when(x.isNotNull(), rank(maps["suffixes"][x])).otherwise(0))))
+
+    def walked(rules: Column, begin: Column) -> Column:
+        # A regex runs only where its rule comes after what was found.
+        return F.aggregate(rules, begin, lambda a, r: F.when(
+            (r["rank"] > a) & (is_dir | ~r["dir_only"]) & F.rlike(path, r["regex"]), r["rank"]).otherwise(a))
+
+    # Last rules first: what they find spares those before.
+    last = F.when(F.contains(path, F.lit("\n")), walked(F.reverse(maps["every"]), F.lit(0))).otherwise(walked(F.reverse(maps["rest"]), looked))
+    return F.coalesce((last > 0) & (last % 2 == 0), F.lit(False))
+
+
 def ignored(path: Column, is_dir: Column, rules: list[PathRule]) -> Column:
     """Last match wins: walk blocks of equal polarity from the end, stop at the first hit."""
     blocks: list[list[PathRule]] = []

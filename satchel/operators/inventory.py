@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from satchel.functions import content as C, paths as P, rules as R
 from satchel.functions.rules import PathRule
@@ -105,40 +105,24 @@ def prune_rowwise(
         ~R.excluded_with_ancestors(F.col("path"), F.col("is_dir"), rules, exclude_regex))
 
 
-_RULE = T.StructType([
-    T.StructField("regex", T.StringType()),
-    T.StructField("negate", T.BooleanType()),
-    T.StructField("dir_only", T.BooleanType()),
-])
-
-
-@F.pandas_udf(_RULE)
-def _translated(lines: pd.Series) -> pd.DataFrame:
-    rules = [R.translate(line) for line in lines]
-    return pd.DataFrame(
-        [(None, None, None) if r is None else (R.FLAGS + r.regex, r.negate, r.dir_only) for r in rules],
-        columns=["regex", "negate", "dir_only"],
-    )
+@F.pandas_udf(R.RULE_MAPS)
+def _compiled(lists: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([R.rule_maps(R.compile_rules(lines)) for lines in lists], columns=["names", "suffixes", "paths", "rest", "every"])
 
 
 def rule_lists(lines: DataFrame) -> DataFrame:
-    """One row per corpus with its translated rules, last rule first.
+    """One row per corpus with its compiled rules: look-up maps and the regexes of the rest.
 
     The rules of a corpus come out of its own few ignore files, so a list is as
     small as those files.  A malformed rule fails the job.
     """
-    rules = lines.withColumn("r", _translated("pattern")).filter("r.regex IS NOT NULL")
-    ordered = F.sort_array(F.collect_list(F.struct("layer", "ordinal", "r")), asc=False)
-    return rules.groupBy("corpus").agg(F.transform(ordered, lambda x: x["r"]).alias("rules"))
+    ordered = F.sort_array(F.collect_list(F.struct("layer", "ordinal", "pattern")))
+    return lines.groupBy("corpus").agg(F.transform(ordered, lambda x: x["pattern"]).alias("lines")).select("corpus", _compiled("lines").alias("rules"))
 
 
 def judged_by_lists(rows: DataFrame, lists: DataFrame, exclude_regex: str) -> DataFrame:
     """Add ``__out``; each row meets the rule list of its corpus in one row."""
-    hits = F.filter(
-        "rules", lambda r: F.rlike(F.col("path"), r["regex"]) & (F.col("is_dir") | ~r["dir_only"]))
-    last = F.aggregate(
-        hits, F.lit(None).cast("boolean"), lambda acc, r: F.coalesce(acc, ~r["negate"]))
-    own = R.legacy_excluded(F.col("path"), exclude_regex) | F.coalesce(last, F.lit(False))
+    own = R.legacy_excluded(F.col("path"), exclude_regex) | R.judged(F.col("path"), F.col("is_dir"), F.col("rules"))
     return rows.join(lists, "corpus", "left").withColumn("__out", own).drop("rules")
 
 
