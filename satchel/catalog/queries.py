@@ -43,7 +43,7 @@ def doc_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scanned(spark: SparkSession, d: str, settings: RunSettings = RunSettings()) -> DataFrame:
-    return V.scan(docs(spark, d), settings)
+    return V.scan(K.spread(docs(spark, d)), settings)
 
 
 def findings(spark: SparkSession, d: str, settings: RunSettings = RunSettings()) -> DataFrame:
@@ -65,7 +65,7 @@ def blobs(spark: SparkSession, d: str) -> DataFrame:
         .when(kind == 7, F.encode(text, "ISO-8859-1"))
         .otherwise(utf8)
     )
-    return docs(spark, d).select("corpus", "path", content.alias("content"))
+    return K.spread(docs(spark, d)).select("corpus", "path", content.alias("content"))
 
 
 # ---- sources -----------------------------------------------------------------
@@ -309,7 +309,7 @@ def q_settings_overlay(spark, d):
 def q_capped_findings(spark, d):
     """Spans of bodies cut at a byte cap; values crossing the cap stay recognised."""
     s = RunSettings()
-    base = docs(spark, d).withColumn("allowed", budget.file_cap("size", FILE_CAP)).withColumn(
+    base = K.spread(docs(spark, d)).withColumn("allowed", budget.file_cap("size", FILE_CAP)).withColumn(
         "is_truncated", F.col("allowed") < F.col("size"))
     capped = budget.apply_caps(base)
     both = V.scan(V.scan(capped, s, "content").withColumnRenamed("findings", "__full"), s, "capped")

@@ -45,8 +45,8 @@ _BLOCK = 64
 def _before(values: str, combine: str) -> str:
     """For each element of an array of numbers, what ``combine`` (of ``a`` and ``x``) makes of those before it, from 0.
 
-    Blocks first, then inside each block: linear, where a growing array would be
-    copied at every element.
+    Up to a block, each from its beginning.  Beyond, blocks first, then inside each block:
+    linear, where a growing array would be copied at every element.
     """
     v, w, b, k, i = (_fresh(x) for x in ("v", "w", "b", "k", "i"))
     fold = lambda part: f"aggregate({part}, 0, (a, x) -> {combine})"
@@ -57,32 +57,44 @@ def _before(values: str, combine: str) -> str:
             f'transform(sequence(0, least({_BLOCK}, size({v}) - {k} * {_BLOCK}) - 1), {i} -> '
             f'aggregate(slice({v}, {k} * {_BLOCK} + 1, {i}), {start}, (a, x) -> {combine}))'))}))")
     with_blocks = f"element_at(transform(array({whole}), {w} -> {placed}), 1)"
+    short = f"transform(sequence(0, size({v}) - 1), {i} -> {fold(f'slice({v}, 1, {i})')})"
     return (
-        f"element_at(transform(array({values}), {v} -> CASE WHEN size({v}) > 0 THEN {with_blocks} "
-        "ELSE cast(array() as array<int>) END), 1)")
+        f"element_at(transform(array({values}), {v} -> CASE WHEN size({v}) = 0 THEN cast(array() as array<int>) "
+        f"WHEN size({v}) = 1 THEN array(0) WHEN size({v}) <= {_BLOCK} THEN {short} ELSE {with_blocks} END), 1)")
 
 
-def _matches(text: str, pattern: str, rule_id: str, tier: int, prefix: str = "") -> str:
-    """All matches of one regex with their offsets.
+def _hits(text: str, pattern: str, rule_id: str, tier: int, prefix: str = "", gate: str = "") -> str:
+    """What one regex finds: the matches, the lengths of the text between them and of their context.
 
-    The text between matches comes from ``split``, the matches from
-    ``regexp_extract_all``; adding up their lengths gives the offsets.
+    The matches come from ``regexp_extract_all``, the text between them from ``split``; neither is
+    looked at where ``gate`` does not hold.
     """
-    p = _lit(pattern)
-    m = _fresh("m")
-    skip = f"length(regexp_extract({m}, {_lit(prefix)}, 0))" if prefix else "0"
-    span = (
-        f"({m}, at) -> named_struct('rule_id', {_lit(rule_id)}, 'tier', {tier}, 'start', int(at + {skip}), "
-        f"'length', length({m}) - {skip}, 'value', substr({m}, {skip} + 1))"
-    )
+    p, none = _lit(pattern), "cast(array() as array<int>)"
+    found = f"regexp_extract_all({text}, {p}, 0)"
+    if gate:
+        found = f"CASE WHEN {gate} THEN {found} ELSE cast(array() as array<string>) END"
 
-    def located(found: str) -> str:
-        gaps = f"transform(slice(split({text}, {p}, -1), 1, size({found})), g -> length(g))"
-        starts = _let(gaps, lambda g: (
-            f"zip_with({g}, {_before(f'zip_with({g}, {found}, (x, h) -> x + length(h))', 'a + x')}, (x, y) -> x + y)"))
-        return f"CASE WHEN size({found}) > 0 THEN zip_with({found}, {starts}, {span}) ELSE {_EMPTY} END"
+    def described(m: str) -> str:
+        gaps = f"CASE WHEN size({m}) > 0 THEN transform(slice(split({text}, {p}, -1), 1, size({m})), g -> length(g)) ELSE {none} END"
+        skips = f"transform({m}, m -> length(regexp_extract(m, {_lit(prefix)}, 0)))" if prefix else none
+        return f"named_struct('rule_id', {_lit(rule_id)}, 'tier', {tier}, 'found', {m}, 'gaps', {gaps}, 'skips', {skips})"
 
-    return _let(f"regexp_extract_all({text}, {p}, 0)", located)
+    return _let(found, described)
+
+
+def _located(hits: str) -> str:
+    """Spans of all rules that found something: adding up lengths gives the offsets."""
+    h, m, i = _fresh("h"), _fresh("m"), _fresh("i")
+    ends = _before(f"zip_with({h}.gaps, {h}.found, (x, y) -> x + length(y))", "a + x")
+    skip = f"coalesce(get({h}.skips, {i}), 0)"
+
+    def spans(before: str) -> str:
+        return (
+            f"transform({h}.found, ({m}, {i}) -> named_struct('rule_id', {h}.rule_id, 'tier', {h}.tier, "
+            f"'start', get({before}, {i}) + get({h}.gaps, {i}) + {skip}, 'length', length({m}) - {skip}, 'value', substr({m}, {skip} + 1)))")
+
+    some = _fresh("r")
+    return f"flatten(transform(filter({hits}, {some} -> size({some}.found) > 0), {h} -> {_let(ends, spans)}))"
 
 
 def _clusters(spans: str, end: str) -> str:
@@ -146,27 +158,27 @@ def _any_of(text: str, literals: Sequence[str]) -> str:
 
 
 def _detect(text: str, gated: str, d: Detector) -> str:
-    spans = _matches(text, d.pattern, d.rule_id, d.tier, d.prefix)
-    if d.rule_id in _VALID:
-        spans = f"filter({spans}, s -> {_VALID[d.rule_id]('s.value')})"
-    return f"CASE WHEN {_any_of(gated, d.gate)} THEN {spans} ELSE {_EMPTY} END" if d.gate else spans
+    return _hits(text, d.pattern, d.rule_id, d.tier, d.prefix, _any_of(gated, d.gate) if d.gate else "")
+
+
+_HITS = "array<struct<rule_id:string,tier:int,found:array<string>,gaps:array<int>,skips:array<int>>>"
 
 
 def _automatic(text: str, scan_entropy: bool, allow: Sequence[str]) -> str:
     """Spans of every built-in rule, before overlaps are resolved."""
 
-    def family(name: str, gated: str) -> str:
-        return "concat(" + ", ".join(_detect(text, gated, d) for d in DETECTORS if d.family == name) + ")"
+    def family(name: str, gated: str, *more: Detector) -> str:
+        return "array(" + ", ".join(_detect(text, gated, d) for d in (*(d for d in DETECTORS if d.family == name), *more)) + ")"
 
+    none = f"cast(array() as {_HITS})"
     parts = [
-        f"CASE WHEN {text} RLIKE {_lit(MARKED_GATE)} THEN {family('marked', text)} ELSE {_EMPTY} END",
+        f"CASE WHEN {text} RLIKE {_lit(MARKED_GATE)} THEN {family('marked', text)} ELSE {none} END",
         f"CASE WHEN {_any_of(text, ASSIGNMENT_GATE)} THEN "
-        + _let(f"lower({text})", lambda low: family("assignment", low)) + f" ELSE {_EMPTY} END",
-        family("", text),
+        + _let(f"lower({text})", lambda low: family("assignment", low)) + f" ELSE {none} END",
+        family("", text, *((ENTROPY,) if scan_entropy else ())),
     ]
-    if scan_entropy:
-        parts.append(_detect(text, text, ENTROPY))
-    found = "concat(" + ", ".join(parts) + ")"
+    valid = " ".join(f"WHEN {_lit(rule)} THEN {test('s.value')}" for rule, test in _VALID.items())
+    found = f"filter({_located('concat(' + ', '.join(parts) + ')')}, s -> CASE s.rule_id {valid} ELSE true END)"
     if allow:
         # The allowlist looks at the detected value only.
         hits = " OR ".join(f"s.value RLIKE {_lit(p)}" for p in allow)
@@ -210,8 +222,8 @@ def _all(text: str, automatic: bool, scan_entropy: bool, allow: Sequence[str], h
     if automatic:
         parts.append(_if_several(_automatic(text, scan_entropy, allow), _resolved))
     if hide:
-        found = ", ".join(_matches(text, p, CUSTOM_ID, CUSTOM) for p in hide)
-        parts.append(f"array_distinct(concat({found}))")
+        found = ", ".join(_hits(text, p, CUSTOM_ID, CUSTOM) for p in hide)
+        parts.append(f"array_distinct({_located(f'array({found})')})")
     if not parts:
         return _EMPTY
     joined = parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
@@ -274,14 +286,47 @@ def masked(rule_id: str, value: str, hide: Sequence[str] = ()) -> Column:
     return F.expr(masked_sql(rule_id, value, hide))
 
 
+#: Characters of a block, and how many cuts of a text are worth having it in blocks.
+_PIECE, _FEW_CUTS = 4096, 16
+_LINE_END = "'\\\\r\\\\n|\\\\r|\\\\n'"
+
+
+def _blocks(text: str) -> str:
+    """The text in blocks of equal numbers of characters."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{_PIECE}}}', 0)"
+
+
+def _part(blocks: str, start: str, end: str) -> str:
+    """Characters from ``start`` up to ``end`` of a text in blocks; touches no other block."""
+    first = f"(({start}) div {_PIECE})"
+    joined = f"array_join(slice({blocks}, int({first} + 1), greatest(0, int((({end}) - 1) div {_PIECE} - {first} + 1))), '')"
+    return f"CASE WHEN ({end}) > ({start}) THEN substr({joined}, int(({start}) - {first} * {_PIECE} + 1), ({end}) - ({start})) ELSE '' END"
+
+
+def _lines(text: str, starts: str) -> str:
+    """For each offset of an array the number of its line, from 1."""
+    short = f"transform({starts}, x -> size(split(substr({text}, 1, x), {_LINE_END}, -1)))"
+
+    def placed(b: str) -> str:
+        # A line end of two characters may lie across two blocks, where it counts once.
+        across = lambda k: f"({k} > 0 AND startswith(get({b}, int({k})), '\n') AND endswith(get({b}, int({k}) - 1), '\r'))"
+        counts = f"transform({b}, (x, k) -> size(split(x, {_LINE_END}, -1)) - 1 - int({across('k')}))"
+        inside = lambda k: f"substr(get({b}, int({k})), 1, x - {k} * {_PIECE})"
+        k = f"(x div {_PIECE})"
+        own = f"size(split(coalesce({inside(k)}, ''), {_LINE_END}, -1)) - int(x > {k} * {_PIECE} AND coalesce({across(k)}, false))"
+        return _let(_before(f"concat({counts}, array(0))", "a + x"), lambda n: f"transform({starts}, x -> int(get({n}, int({k})) + {own}))")
+
+    return f"CASE WHEN size({starts}) <= {_FEW_CUTS} THEN {short} ELSE {_let(_blocks(text), placed)} END"
+
+
 def report(findings: str, text: str, names: dict[str, str], hide: Sequence[str] = ()) -> Column:
     """Findings as they may be shown: rule, place and masked preview."""
     labels = "map(" + ", ".join(_lit(x) for pair in names.items() for x in pair) + ")"
-    return F.expr(
-        f"transform({findings}, s -> named_struct('rule_id', s.rule_id, 'rule_name', {labels}[s.rule_id], "
-        f"'tier', s.tier, 'start', s.start, 'length', s.length, "
-        f"'line', size(split(substr({text}, 1, s.start), '\\\\r\\\\n|\\\\r|\\\\n', -1)), "
-        f"'preview', {masked_sql('s.rule_id', 's.value', hide)}, 'always_redact', s.tier = {CUSTOM}))")
+    lines = _lines(text, f"transform({findings}, s -> s.start)")
+    return F.expr(_let(lines, lambda n: (
+        f"transform({findings}, (s, i) -> named_struct('rule_id', s.rule_id, 'rule_name', {labels}[s.rule_id], "
+        f"'tier', s.tier, 'start', s.start, 'length', s.length, 'line', get({n}, i), "
+        f"'preview', {masked_sql('s.rule_id', 's.value', hide)}, 'always_redact', s.tier = {CUSTOM}))")))
 
 
 def _merged(spans: str) -> str:
@@ -303,11 +348,16 @@ def redacted(text: str, spans: str) -> Column:
     """
 
     def rebuilt(u: str) -> str:
-        before = f"CASE WHEN i = 0 THEN 0 ELSE get({u}, i - 1).end END"
-        piece = (
-            f"(v, i) -> concat(substr({text}, ({before}) + 1, v.start - ({before})), '[REDACTED:', v.rule_id, ']')")
-        tail = f"substr({text}, element_at({u}, -1).end + 1)"
-        return f"concat(array_join(transform({u}, {piece}), ''), {tail})"
+        before = f"(CASE WHEN i = 0 THEN 0 ELSE get({u}, i - 1).end END)"
+        last = f"element_at({u}, -1).end"
+
+        def pieces(cut: Callable[[str, str], str], end: str) -> str:
+            piece = f"(v, i) -> concat({cut(before, 'v.start')}, '[REDACTED:', v.rule_id, ']')"
+            return f"concat(array_join(transform({u}, {piece}), ''), {cut(last, end)})"
+
+        few = pieces(lambda x, y: f"substr({text}, {x} + 1, {y} - {x})", f"length({text})")
+        many = _let(_blocks(text), lambda b: pieces(lambda x, y: _part(b, x, y), f"length({text})"))
+        return f"CASE WHEN size({u}) <= {_FEW_CUTS} THEN {few} ELSE {many} END"
 
     return F.expr(
         f"CASE WHEN size({spans}) = 0 THEN {text} ELSE {_let(_merged(spans), rebuilt)} END")

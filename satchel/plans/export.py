@@ -7,9 +7,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from satchel.functions import content as C, paths as P, rules as R, spans as S, text as X, tokens as K
-from satchel.operators import budget, inventory as I, layouts as L, selection, sensitive as V
+from satchel.operators import budget, inventory as I, layouts as L, regions as G, selection, sensitive as V
 from satchel.plans.session import scratch, stage
 from satchel.plans.settings import RunSettings
+from satchel.sources.corpus import spread
 
 
 @dataclass(frozen=True)
@@ -94,15 +95,18 @@ def read_bodies(chosen: DataFrame, s: RunSettings, by_type: bool = True) -> Data
     return read.withColumn("undecodable", ~F.col("is_binary") & F.col("text").isNull())
 
 
-def scan_bodies(files: DataFrame, s: RunSettings) -> DataFrame:
-    """Cap, then find: values crossing a cap are recognised in the whole body."""
+def scan_bodies(files: DataFrame, s: RunSettings, long: bool = False) -> DataFrame:
+    """Cap, then find: values crossing a cap are recognised in the whole body.
+
+    ``long``: some bodies are worth being scanned by regions.
+    """
     # Files without text use up nothing of the budget.
     empty = F.col("is_binary") | F.col("undecodable")
     sized = (
         budget.size_budget(files, s.max_file_bytes, s.max_total_bytes, empty)
         .withColumn("text", F.when(empty, F.lit("")).otherwise(F.col("text")))
     )
-    full = V.scan(sized, s, "text")
+    full = G.scan(stage(sized, "bodies"), s, "text") if long else V.scan(sized, s, "text")
     if s.max_file_bytes <= 0 and s.max_total_bytes <= 0:
         return full.withColumn("shown", F.col("text")).drop("content", "text", "allowed")
     cut = C.capped_decode("content", F.col("encoding"), F.col("allowed"))
@@ -158,10 +162,11 @@ def prepare(
     entries = stage(entries, "entries")
     # Selection runs on the rows that hold the bodies, which meet small tables only.
     by_type = selection_.overrides is None and (selection_.mode or settings.selection_mode) == "Basic"
-    bodies = read_bodies(candidates(rows, settings, selection_), settings, by_type)
+    bodies = read_bodies(spread(candidates(rows, settings, selection_), corpus), settings, by_type)
+    long = not entries.where(F.col("size") > G.LONG_CHARS).isEmpty()
     # One pass reads, scans and protects; header sums, listings, errors and blocks
     # all read the staged result.
-    staged = stage(finish_bodies(scan_bodies(bodies, settings), settings, vocab_path), "files")
+    staged = stage(finish_bodies(scan_bodies(bodies, settings, long), settings, vocab_path), "files")
     files = staged.filter(~F.col("undecodable")).drop("undecodable", "encoding")
     errors = staged.filter("undecodable").select(
         "corpus", "path", F.concat(F.lit("could not be decoded as "), F.col("encoding")).alias("reason")).unionByName(unread)

@@ -45,6 +45,16 @@ def read_corpus(
     return spark.read.format(format).load(path)
 
 
+def spread(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """Give the rows of a few input files (of ``source``) to all cores, before work that is done per body.
+
+    A table of at least as many files as there are cores is left alone, so no body of a
+    large one is shuffled for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len((source or df).inputFiles()) < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -96,7 +96,7 @@ def test_scanning_is_linear_in_the_matches(spark):
 
     seconds(500)
     small, large = seconds(4000), seconds(16_000)
-    assert large < 9 * max(small, 0.5)
+    assert large < 6 * max(small, 0.5)
 
 
 def test_redaction_joins_overlaps(spark):
