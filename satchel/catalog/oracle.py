@@ -217,6 +217,27 @@ def drawn(nodes: str, label: str) -> str:
     || {name('path')} || CASE WHEN is_dir THEN '/' ELSE '' END{label} AS line FROM walk"""
 
 
+def drawn_by_key(nodes: str) -> str:
+    """As ``drawn``; directories meet what they hold whatever its case."""
+    level = "list_extract(string_split({p}, '/'), i)"
+    spelled = f"CASE WHEN is_dir OR i < len(string_split(path, '/')) THEN upper({level.format(p='path')}) ELSE {level.format(p='path')} END"
+    key = (f"array_to_string([CASE WHEN i = len(string_split(path, '/')) AND NOT is_dir THEN '1' ELSE '0' END || upper({level.format(p='path')}) "
+           f"|| chr(1) || {spelled} FOR i IN range(1, len(string_split(path, '/')) + 1)], chr(1))")
+    return f"""nodes AS ({nodes}),
+  kids AS (SELECT *, upper({parent('path')}) AS up, {key} AS key FROM nodes),
+  flagged AS (SELECT *, key = max(key) OVER (PARTITION BY up) AS is_last FROM kids),
+  walk AS (SELECT path, key, is_dir, is_last, '' AS prefix FROM flagged WHERE up = ''
+    UNION ALL SELECT f.path, f.key, f.is_dir, f.is_last, w.prefix || CASE WHEN w.is_last THEN '    ' ELSE '│   ' END
+    FROM walk w JOIN flagged f ON w.is_dir AND f.up = upper(w.path))
+  SELECT row_number() OVER (ORDER BY key) AS ord, prefix || CASE WHEN is_last THEN '└── ' ELSE '├── ' END
+    || {name('path')} || CASE WHEN is_dir THEN '/' ELSE '' END AS line FROM walk"""
+
+
+CASED = f"""{FILES}, cased AS (SELECT doc_id, size, CASE WHEN doc_id % 3 = 0 THEN upper(path[1]) || lower(split_part(path, '/', 1)[2:])
+    ELSE split_part(path, '/', 1) END || '/' || CASE WHEN doc_id % 2 = 0 THEN regexp_replace(regexp_replace(path, '^[^/]+/', ''), '^en/', 'EN/')
+    ELSE regexp_replace(path, '^[^/]+/', '') END AS path FROM doc_files)"""
+CASED_ROLL = f"""roll AS (SELECT upper(directory) AS key, min(directory) AS directory, count(*) AS files, CAST(sum(size) AS BIGINT) AS text_bytes,
+    CAST(sum({TOKENS}) AS BIGINT) AS tokens FROM (SELECT unnest({prefixes('path')}) AS directory, size FROM cased) GROUP BY 1)"""
 PAGE_INV = f"""{PAGES}, placed AS (SELECT 'pages' AS corpus, list_extract(['src', 'node_modules', 'build', 'sub/dist', 'dist', 'vendor',
     'bin', 'venv', 'lib/.venv', 'docs'], CAST(page_id % 10 + 1 AS INT)) || '/p' || page_id || '/' || list_extract(['a.py', 'b.pyc', 'c.log',
     'package-lock.json', 'd.rs.bk', '.env', 'LICENSE', 'e.min.js'], CAST((page_id // 10) % 8 + 1 AS INT)) AS path, size FROM page_files),
@@ -431,6 +452,20 @@ def statements() -> dict[str, str]:
         "share_of_total": f"WITH {TALKS}, {rolled('conv_files')} SELECT directory, text_bytes, round(text_bytes * 100.0 / {SHARE}, 6) AS share FROM roll",
         "token_tree": f"""WITH {FILES}, {rolled('doc_files')} SELECT directory AS path, true AS is_dir, tokens FROM roll WHERE directory <> ''
           UNION ALL SELECT path, false, {TOKENS} FROM doc_files WHERE size > 0""",
+        "cased_rollup": f"WITH {CASED}, {CASED_ROLL} SELECT directory, files, text_bytes, tokens FROM roll",
+        "cased_token_tree": f"""WITH {CASED}, {CASED_ROLL} SELECT directory AS path, true AS is_dir, tokens FROM roll WHERE directory <> ''
+          UNION ALL SELECT path, false, {TOKENS} FROM cased WHERE size > 0""",
+        "cased_children": f"""WITH {CASED}, {CASED_ROLL}, kids AS (SELECT directory AS path, files FROM roll WHERE directory <> '' UNION ALL SELECT path, 1 FROM cased),
+          k AS (SELECT r.directory AS parent, kids.* FROM kids JOIN roll r ON upper({parent('kids.path')}) = r.key)
+          SELECT parent, path, files, row_number() OVER (PARTITION BY parent ORDER BY upper({name('path')}), {name('path')}, path) AS position FROM k""",
+        "cased_tree": f"""WITH RECURSIVE {CASED}, {CASED_ROLL}, {drawn_by_key("SELECT directory AS path, true AS is_dir FROM roll WHERE directory <> '' UNION ALL SELECT path, false FROM cased")}""",
+        "cased_states": f"""WITH {CASED}, sums AS (SELECT upper(directory) AS key, min(directory) AS directory, count(*) AS files, count_if(doc_id % 2 = 0) AS chosen
+            FROM (SELECT unnest({prefixes('path')}) AS directory, doc_id FROM cased WHERE doc_id % 5 < 2) GROUP BY 1),
+          ov AS (SELECT upper({parent('path')}) AS key, length(min({parent('path')})) % 2 = 0 AS included FROM cased WHERE doc_id % 7 = 0 GROUP BY 1),
+          folders AS (SELECT upper(f) AS key, min(f) AS path FROM (SELECT {parent('path')} || '/sub' || doc_id % 3 AS f FROM cased) GROUP BY 1)
+          SELECT directory, files, chosen, CASE WHEN chosen = files THEN 'Included' WHEN chosen > 0 THEN 'Mixed' ELSE 'Excluded' END AS state FROM sums
+          UNION ALL SELECT path, 0, 0, CASE WHEN coalesce((SELECT arg_max(o.included, length(o.key)) FROM ov o WHERE f.key = o.key
+            OR starts_with(f.key, o.key || '/')), false) THEN 'Included' ELSE 'Excluded' END FROM folders f WHERE f.key NOT IN (SELECT key FROM sums)""",
         "rule_tally": f"WITH {SCAN} SELECT corpus, rule_id, count(*) AS findings FROM hits GROUP BY ALL",
         "findings_by_file": f"WITH {SCAN} SELECT path, count(*) AS findings, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules FROM hits GROUP BY path",
         "review_files": f"WITH {SCAN} SELECT corpus, count(DISTINCT path) AS files, count(*) AS findings FROM hits GROUP BY corpus",

@@ -652,6 +652,41 @@ def q_token_lines(spark, d):
     return ordinals(lines.select("corpus", "key", "line"), ["key"], "ord", ["corpus"]).select("ord", "line")
 
 
+def _cased(spark, d) -> DataFrame:
+    """Documents whose directories come in several spellings, by their number."""
+    n, path = F.col("doc_id"), F.col("path")
+    source, rest = F.substring_index(path, "/", 1), F.regexp_replace(path, "^[^/]+/", "")
+    return doc_paths(spark, d).withColumn("path", F.concat(
+        F.when(n % 3 == 0, F.initcap(source)).otherwise(source), F.lit("/"), F.when(n % 2 == 0, F.regexp_replace(rest, "^en/", "EN/")).otherwise(rest)))
+
+
+def q_cased_rollup(spark, d):
+    return rollup.contributions(_cased(spark, d)).select("directory", "files", "text_bytes", "tokens")
+
+
+def q_cased_token_tree(spark, d):
+    return rollup.token_tree(_cased(spark, d)).select("path", "is_dir", "tokens")
+
+
+def q_cased_children(spark, d):
+    return rollup.children_sorted(rollup.children(_cased(spark, d)), "name", False).select("parent", "path", "files", "position")
+
+
+def q_cased_tree(spark, d):
+    lines = tree.structure(I.inventory(_cased(spark, d)), "")
+    return ordinals(lines.select("corpus", "key", "line"), ["key"], "ord", ["corpus"]).select("ord", "line")
+
+
+def q_cased_states(spark, d):
+    """Directories of chosen files and, beside them, directories whose files hold no text."""
+    files, held = _cased(spark, d), F.col("doc_id") % 5 < 2
+    chosen = files.filter(held).withColumn("selected", F.col("doc_id") % 2 == 0)
+    set_by_hand = files.filter("doc_id % 7 = 0").select("corpus", P.parent("path").alias("path")).groupBy("corpus", P.path_key("path").alias("k")).agg(
+        F.min("path").alias("path")).select("corpus", "path", (F.length("path") % 2 == 0).alias("included"))
+    folders = files.select("corpus", F.concat(P.parent("path"), F.lit("/sub"), (F.col("doc_id") % 3).cast("string")).alias("path")).distinct()
+    return rollup.tristate(chosen, folders, set_by_hand, False).select("directory", "files", "chosen", "state")
+
+
 def q_records(spark, d):
     """Per-file records, as the row sink writes them."""
     pack, _ = _pack(spark, d, "json")

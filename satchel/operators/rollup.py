@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from satchel.functions import paths as P
-from satchel.operators.selection import chain
+from satchel.operators.selection import chain, nearest_override
 from satchel.plans.running import ordinals
 from satchel.plans.session import shared_dir
 
@@ -13,15 +13,19 @@ from satchel.plans.session import shared_dir
 def by_directory(files: DataFrame, /, **sums: Column) -> DataFrame:
     """Sums per directory and everything below it; the root is ``''``.
 
-    Files are summed per parent first, so only one row per directory is exploded
+    Directories that differ in case only are one, spelled as the first of them in byte
+    order.  Files are summed per parent first, so only one row per directory is exploded
     over its ancestors, and the root receives one partial sum per task.
     """
-    per_parent = files.groupBy("corpus", P.parent("path").alias("__parent")).agg(
-        *[F.sum(c).alias(n) for n, c in sums.items()])
+    parent = P.parent("path")
+    per_parent = files.groupBy("corpus", P.path_key(parent).alias("__parent")).agg(
+        F.min(parent).alias("__spelled"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    levels = F.explode(F.arrays_zip(chain("__parent").alias("key"), chain("__spelled").alias("directory")))
     return (
-        per_parent.select("corpus", F.explode(chain("__parent")).alias("directory"), *sums)
-        .groupBy("corpus", "directory")
-        .agg(*[F.sum(n).alias(n) for n in sums])
+        per_parent.select("corpus", levels.alias("__d"), *sums)
+        .groupBy("corpus", F.col("__d.key").alias("__key"))
+        .agg(F.min("__d.directory").alias("directory"), *[F.sum(n).alias(n) for n in sums])
+        .drop("__key")
     )
 
 
@@ -54,10 +58,25 @@ def token_tree(files: DataFrame) -> DataFrame:
         "corpus", "path", F.lit(False).alias("is_dir"), F.col("tokens").cast("bigint").alias("tokens")))
 
 
-def tristate(files: DataFrame) -> DataFrame:
-    """Included, Excluded or Mixed per directory, from ``selected`` on files."""
+def tristate(files: DataFrame, directories: DataFrame | None = None, overrides: DataFrame | None = None, default: bool = True) -> DataFrame:
+    """Included, Excluded or Mixed per directory, from ``selected`` on files.
+
+    ``directories`` (``corpus, path``) adds those without any file: they show the choice of the
+    nearest directory that ``overrides`` (``corpus, path, included``) sets, themselves first, else the default.
+    """
     rolled = by_directory(files, files=F.lit(1), chosen=F.col("selected").cast("int"))
-    return rolled.withColumn("state", state(F.col("chosen"), F.col("files")))
+    if directories is None:
+        return rolled.withColumn("state", state(F.col("chosen"), F.col("files")))
+    key = P.path_key(P.normalize("path"))
+    named = directories.select("corpus", P.normalize("path").alias("path")).groupBy("corpus", key.alias("__key")).agg(F.min("path").alias("path"))
+    bare = named.join(rolled.select("corpus", P.path_key("directory").alias("__key")), ["corpus", "__key"], "left_anti").drop("__key")
+    none = F.lit(0).cast("bigint")
+    if overrides is None:
+        inherited = bare.withColumn("included", F.lit(default))
+    else:
+        inherited = nearest_override(bare, overrides, F.lit(default))
+    empty = inherited.select("corpus", F.col("path").alias("directory"), none.alias("files"), none.alias("chosen"), state(none, none, F.col("included")).alias("state"))
+    return rolled.withColumn("state", state(F.col("chosen"), F.col("files"))).unionByName(empty)
 
 
 def state(chosen: Column, total: Column, inherited: Column | None = None) -> Column:
@@ -98,15 +117,19 @@ def descendant_counts(entries: DataFrame) -> DataFrame:
 
 
 def children(files: DataFrame) -> DataFrame:
-    """Every file and directory as a child of its parent, with its contribution."""
-    rolled = contributions(files).filter("directory <> ''")
-    rows = rolled.select(
+    """Every file and directory as a child of its parent, with its contribution.
+
+    ``parent`` is the directory as it is spelled in the roll-up.
+    """
+    whole = contributions(files)
+    rows = whole.filter("directory <> ''").select(
         "corpus", F.col("directory").alias("path"), F.lit(True).alias("is_dir"), "files", "text_bytes", "tokens")
     leaves = files.select(
         "corpus", "path", F.lit(False).alias("is_dir"), F.lit(1).cast("bigint").alias("files"),
         F.col("text_bytes").cast("bigint").alias("text_bytes"), F.col("tokens").cast("bigint").alias("tokens"))
-    both = rows.unionByName(leaves)
-    return both.withColumn("parent", P.parent("path")).withColumn("name", P.name("path"))
+    both = rows.unionByName(leaves).withColumn("__key", P.path_key(P.parent("path")))
+    spelled = whole.select("corpus", P.path_key("directory").alias("__key"), F.col("directory").alias("parent"))
+    return both.join(spelled, ["corpus", "__key"]).drop("__key").withColumn("name", P.name("path"))
 
 
 def _child_keys(df: DataFrame, key: str, descending: bool) -> tuple[DataFrame, list[str]]:
