@@ -271,12 +271,18 @@ def excluded(
     return hard | ignored(path, is_dir, rules)
 
 
+def in_corpus(path: Column) -> Column:
+    """The full path that user patterns see: below the corpus."""
+    return F.concat(F.col("corpus"), F.lit("/"), path)
+
+
 def excluded_with_ancestors(
-    path: Column, is_dir: Column, rules: list[PathRule], pattern: str = DEFAULT_EXCLUDE_REGEX
+    path: Column, is_dir: Column, rules: list[PathRule], pattern: str = DEFAULT_EXCLUDE_REGEX,
+    full: Callable[[Column], Column] | None = None,
 ) -> Column:
     """Row-wise pruning: the entry or any directory above it is dropped.
 
-    Needs no shuffle, so it also serves streams.
+    Needs no shuffle, so it also serves streams.  ``full`` makes a full path of a relative one.
     """
     parts = F.split(path, "/", -1)
     above = F.transform(
@@ -284,7 +290,7 @@ def excluded_with_ancestors(
         lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"),
     )
     test: Callable[[Column], Column] = lambda a: excluded(
-        a, (a != path) | is_dir, rules, pattern
+        a, (a != path) | is_dir, rules, pattern, full(a) if full else None
     )
     return F.exists(above, test)
 

@@ -43,13 +43,28 @@ def inventory(files: DataFrame) -> DataFrame:
     return rows.unionByName(dirs)
 
 
+#: Spellings of the names of ignore files that are looked for by value.
+MOST_SPELLINGS = 100
+
+
+def rule_files(corpus: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """The ignore files of raw rows, with their paths normalised.
+
+    Which rows these are is found by paths alone, so only they are read with their content.
+    """
+    wanted = P.normalize("path").isin(*names)
+    spelled = [r["path"] for r in corpus.filter(wanted).select("path").distinct().limit(MOST_SPELLINGS + 1).collect()]
+    rows = corpus.filter(F.col("path").isin(spelled) if len(spelled) <= MOST_SPELLINGS else wanted)
+    return rows.withColumn("path", P.normalize("path"))
+
+
 def rule_lines(
-    corpus: DataFrame, names: tuple[str, ...], extra: tuple[str, ...] = ()
+    corpus: DataFrame, names: tuple[str, ...], extra: tuple[str, ...] = (), corpora: DataFrame | None = None
 ) -> DataFrame:
     """Rule lines of each corpus, in the order they apply.
 
-    Layers: each root ignore file in ``names``, then configured globs.  Comments
-    and blanks go; order stays.
+    Layers: each root ignore file in ``names``, then configured globs, which all ``corpora`` get (by
+    default those of ``corpus``).  Comments and blanks go; order stays.
     """
     layer = F.coalesce(*[F.when(F.col("path") == n, F.lit(i)) for i, n in enumerate(names)])
     from_files = (
@@ -59,7 +74,7 @@ def rule_lines(
             F.posexplode(F.split(F.col("content").cast("string"), "\r\n|\n|\r")).alias("ordinal", "line"))
     )
     if extra:
-        config = corpus.select("corpus").distinct().select(
+        config = (corpus if corpora is None else corpora).select("corpus").distinct().select(
             "corpus", F.lit(len(names)).alias("layer"),
             F.posexplode(F.array(*[F.lit(x) for x in extra])).alias("ordinal", "line"))
         from_files = from_files.unionByName(config)
@@ -76,7 +91,7 @@ def pruned_directories(
     Each distinct directory is judged once together with those above it, without
     another join; rules never meet a file here.
     """
-    out = R.excluded_with_ancestors(F.col("path"), F.lit(True), rules, exclude_regex)
+    out = R.excluded_with_ancestors(F.col("path"), F.lit(True), rules, exclude_regex, R.in_corpus)
     return listing.filter("is_dir").filter(out).select("corpus", F.col("path").alias("__parent"))
 
 
@@ -93,7 +108,7 @@ def prune(
     entries: DataFrame, rules: list[PathRule], exclude_regex: str = R.DEFAULT_EXCLUDE_REGEX
 ) -> DataFrame:
     """Exclusion by one rule list for all corpora; ``entries`` as from ``inventory``."""
-    own = R.excluded(F.col("path"), F.col("is_dir"), rules, exclude_regex)
+    own = R.excluded(F.col("path"), F.col("is_dir"), rules, exclude_regex, R.in_corpus(F.col("path")))
     return outside(entries.filter(~own), pruned_directories(entries, rules, exclude_regex))
 
 
@@ -102,7 +117,7 @@ def prune_rowwise(
 ) -> DataFrame:
     """The same result without a shuffle; for streams and for shallow trees."""
     return entries.filter(
-        ~R.excluded_with_ancestors(F.col("path"), F.col("is_dir"), rules, exclude_regex))
+        ~R.excluded_with_ancestors(F.col("path"), F.col("is_dir"), rules, exclude_regex, R.in_corpus))
 
 
 @F.pandas_udf(R.RULE_MAPS)
@@ -122,7 +137,7 @@ def rule_lists(lines: DataFrame) -> DataFrame:
 
 def judged_by_lists(rows: DataFrame, lists: DataFrame, exclude_regex: str) -> DataFrame:
     """Add ``__out``; each row meets the rule list of its corpus in one row."""
-    own = R.legacy_excluded(F.col("path"), exclude_regex) | R.judged(F.col("path"), F.col("is_dir"), F.col("rules"))
+    own = R.legacy_excluded(F.col("path"), exclude_regex, R.in_corpus(F.col("path"))) | R.judged(F.col("path"), F.col("is_dir"), F.col("rules"))
     return rows.join(lists, "corpus", "left").withColumn("__out", own).drop("rules")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from satchel.functions import content as C, paths as P, rules as R, spans as S, text as X, tokens as K
 from satchel.operators import budget, inventory as I, layouts as L, regions as G, selection, sensitive as V
@@ -27,8 +27,13 @@ class Selection:
 
 
 def listing_of(corpus: DataFrame) -> DataFrame:
-    """Every path of the corpus, directories included: ``corpus, path, is_dir, size``."""
-    listed = I.inventory(corpus.filter(~F.col("is_dir")) if "is_dir" in corpus.columns else corpus)
+    """Every path of the corpus, directories included: ``corpus, path, is_dir, size``.
+
+    Sizes are those of the source, null where it has none: no content is read for them.
+    """
+    size = F.col("size") if "size" in corpus.columns else F.lit(None)
+    files = corpus.filter(~F.col("is_dir")) if "is_dir" in corpus.columns else corpus
+    listed = I.inventory(files.select("corpus", "path", size.cast("bigint").alias("size")))
     if "is_dir" in corpus.columns:
         empty = corpus.filter("is_dir").select("corpus", "path", "is_dir", F.lit(0).cast("bigint").alias("size"))
         listed = listed.unionByName(empty).dropDuplicates(["corpus", "path"])
@@ -36,7 +41,7 @@ def listing_of(corpus: DataFrame) -> DataFrame:
 
 
 def exclusion(corpus: DataFrame, listing: DataFrame, s: RunSettings):
-    """A function that drops excluded rows from any table of paths.
+    """A function that drops excluded rows from any table of paths.  ``corpus``: raw rows.
 
     Excluded directories are worked out once, from paths; tables with bodies then
     only meet that set and the rule lists, broadcast when they are small.
@@ -44,14 +49,14 @@ def exclusion(corpus: DataFrame, listing: DataFrame, s: RunSettings):
     names = tuple(
         n for n, on in ((".gitignore", s.respect_gitignore), (s.extra_ignore_name, s.use_extra_ignore)) if on)
     if names:
-        lines = I.rule_lines(corpus, names, tuple(s.exclude_globs))
+        lines = I.rule_lines(I.rule_files(corpus, names), names, tuple(s.exclude_globs), listing)
         lists = budget.broadcast_if_small(stage(I.rule_lists(lines), "rules"))
         gone = I.pruned_directories_by_lists(listing, lists, s.exclude_regex)
         keep = lambda rows: I.judged_by_lists(rows, lists, s.exclude_regex).filter("NOT __out").drop("__out")
     else:
         rules = R.compile_rules(s.exclude_globs)
         gone = I.pruned_directories(listing, rules, s.exclude_regex)
-        keep = lambda rows: rows.filter(~R.excluded(F.col("path"), F.col("is_dir"), rules, s.exclude_regex))
+        keep = lambda rows: rows.filter(~R.excluded(F.col("path"), F.col("is_dir"), rules, s.exclude_regex, R.in_corpus(F.col("path"))))
     gone = budget.broadcast_if_small(stage(gone, "pruned"))
     return lambda rows: I.outside(keep(rows), gone)
 
@@ -134,6 +139,18 @@ def finish_bodies(scanned: DataFrame, s: RunSettings, vocab_path: str | None = N
     return safe.withColumn("tokens", count).withColumn("report", report).drop("shown", "findings")
 
 
+def observed(finished: DataFrame, observation: Observation | None) -> DataFrame:
+    """Count what passes by, without a pass of its own."""
+    if observation is None:
+        return finished
+    good = ~F.col("undecodable")
+    none = F.lit(0).cast("bigint")
+    return finished.observe(
+        observation, F.count_if(good).alias("files"), F.coalesce(F.sum(F.when(good, F.col("size"))), none).alias("bytes"),
+        F.coalesce(F.sum(F.when(good, F.col("tokens"))), none).alias("tokens"), F.coalesce(F.sum(F.when(good, F.size("report"))), none).alias("findings"),
+        F.count_if(good & F.col("content_omitted")).alias("omitted"), F.count_if("undecodable").alias("undecodable"))
+
+
 def prepare(
     corpus: DataFrame,
     settings: RunSettings,
@@ -142,13 +159,18 @@ def prepare(
     selection_: Selection = Selection(),
     vocab_path: str | None = None,
     guard: bool = True,
+    observation: Observation | None = None,
 ) -> L.Pack:
-    """Everything a layout needs.  ``changes`` limits the run when the settings ask for it."""
+    """Everything a layout needs.  ``changes`` limits the run when the settings ask for it.
+
+    ``observation`` receives counts of the body pass while it runs: ``files``, ``bytes``, ``tokens``,
+    ``findings``, ``omitted``, ``undecodable``; with a listener they are a run's progress.
+    """
     # Paths that differ in case only are two files.
     clean = corpus.withColumn("path", P.normalize("path"))
     # Paths only, read by several joins: kept as a narrow table.
     listing = stage(listing_of(clean), "listing")
-    keep = exclusion(clean, listing, settings)
+    keep = exclusion(corpus, listing, settings)
     entries = keep(listing)
     rows = clean if "is_dir" in clean.columns else clean.withColumn("is_dir", F.lit(False))
     # What a source could not read has no content; its own message is the reason.
@@ -166,7 +188,8 @@ def prepare(
     long = not entries.where(F.col("size") > G.LONG_CHARS).isEmpty()
     # One pass reads, scans and protects; header sums, listings, errors and blocks
     # all read the staged result.
-    staged = stage(finish_bodies(scan_bodies(bodies, settings, long), settings, vocab_path), "files")
+    finished = finish_bodies(scan_bodies(bodies, settings, long), settings, vocab_path)
+    staged = stage(observed(finished, observation), "files")
     files = staged.filter(~F.col("undecodable")).drop("undecodable", "encoding")
     errors = staged.filter("undecodable").select(
         "corpus", "path", F.concat(F.lit("could not be decoded as "), F.col("encoding")).alias("reason")).unionByName(unread)
@@ -176,7 +199,7 @@ def prepare(
         entries = entries.filter(~F.col("is_dir")).unionByName(
             I.directories(entries.filter(~F.col("is_dir"))).select(
                 "corpus", "path", F.lit(True).alias("is_dir"), F.lit(0).cast("bigint").alias("size")))
-    return L.Pack(entries, files, errors, commits)
+    return L.Pack(entries, files, errors, commits, listing.select("corpus"))
 
 
 def export(
