@@ -66,7 +66,15 @@ ANY = "|".join(f"(?:{p})" for _, p, _ in PATTERNS)
 # A quick look that every pattern passes, so most texts are read once: first letters before whole titles.
 _ALL_TITLES = [t for table in (TITLES, CYRILLIC_TITLES) for names in table.values() for t in names.split("|")]
 TITLE = r"^(?:" + "|".join(_ALL_TITLES) + r")\.? "
-HINT = r"[0-9][0-9 .()-]{5}|[0-9]\.[0-9]|(?=[" + "".join(sorted({t[0] for t in _ALL_TITLES})) + "])(?:" + "|".join(_ALL_TITLES) + r")\.? \p{Lu}"
+# What every match of a kind holds; an email address is looked for by its @ alone.
+HINTS = {
+    "iban": r"[A-Z][A-Z][0-9][0-9]",
+    "ip": r"[0-9]\.[0-9]",
+    # At least five digits after a plus, or a digit followed by five characters of a number.
+    "phone": r"\+[0-9][0-9 .-]{4}|[0-9][0-9 .()-]{5}",
+    "person": r"(?=[" + "".join(sorted({t[0] for t in _ALL_TITLES})) + "])(?:" + "|".join(_ALL_TITLES) + r")\.? \p{Lu}",
+}
+HINT = "|".join(HINTS.values())
 # Fixed value: country codes of one and two digits; all others have three, and none begins another.
 COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 #: Attempts at a given name that stay within the list.
