@@ -6,8 +6,6 @@ job over the table (``plans.export``), never from a stream's state.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from satchel.functions import paths as P
@@ -87,32 +85,54 @@ def running_findings(stream: DataFrame, settings: RunSettings = RunSettings()) -
     return V.finding_rows(V.scan(stream, settings), settings)
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run a stream until everything present has been read and return its table.
+def start(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", **trigger):
+    """Write every micro-batch into a folder of its own, ``batch=<n>`` below ``out``.
 
-    Every micro-batch overwrites its own folder, so a batch repeated after a
-    failure replaces itself.  In ``complete`` mode the newest folder is the answer.
+    A batch repeated after a failure replaces itself.  ``trigger`` as of ``DataStreamWriter.trigger``.
     """
-    spark = stream.sparkSession
-    out, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
-    empty = spark.createDataFrame([], stream.schema)
-    empty.write.parquet(f"{out}/batch=-1")
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    query = (
-        stream.writeStream.foreachBatch(save).outputMode(mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
-    table = spark.read.parquet(out)
-    if mode == "complete":
-        newest = table.agg(F.max("batch")).first()[0]
-        table = table.filter(F.col("batch") == F.lit(newest))
-    return table.drop("batch")
+    writer = stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def committed_batches(spark: SparkSession, checkpoint: str) -> list[int]:
+    """Numbers of the batches that a query has finished, from its commit log."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    log = jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    files = log.getFileSystem(hadoop)
+    if not files.exists(log):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(log)]
+    return sorted(int(n) for n in names if n.isdigit())
+
 
+def read_batches(spark: SparkSession, out: str, checkpoint: str, schema, newest: bool = False) -> DataFrame:
+    """What finished batches hold; of a query in complete mode the ``newest`` is the answer.
 
-def freeze(query, read: Callable[[], DataFrame]) -> DataFrame:
-    """Stop a running query and read what it has written so far."""
+    A batch that was being written when the query ended is not part of it, even if its folder is whole.
+    """
+    done = committed_batches(spark, checkpoint)
+    done = done[-1:] if newest else done
+    if not done:
+        return spark.createDataFrame([], schema)
+    # The log keeps the last hundred batches or so; all before them are finished too.
+    table = spark.read.option("basePath", out).schema(schema).parquet(out)
+    batch = F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(\d+)/[^/]*$", 1).cast("bigint")
+    return table.where((batch <= done[-1]) & (batch >= (done[-1] if newest else 0))).drop("batch")
+
+
+def freeze(query, out: str, checkpoint: str, schema, newest: bool = False) -> DataFrame:
+    """Stop a running query and read the batches it has finished; the result no longer changes."""
     query.stop()
-    return read()
+    return read_batches(SparkSession.active(), out, checkpoint, schema, newest)
+
+
+def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+    """Run a stream until everything present has been read and return its table."""
+    spark = stream.sparkSession
+    out, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
+    start(stream, out, checkpoint, mode, availableNow=True).awaitTermination()
+    return read_batches(spark, out, checkpoint, stream.schema, newest=mode == "complete")
