@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 
+import pytest
 from pyspark.sql import Observation, functions as F
 
 from satchel.functions import rules as R
@@ -94,3 +95,16 @@ def test_directories_in_two_spellings_are_one(spark):
     set_ = spark.createDataFrame([("c", "SRC", False)], "corpus string, path string, included boolean")
     assert {(r.directory, r.state) for r in rollup.tristate(df, dirs, set_).collect()} == {
         ("", "Mixed"), ("SRC", "Mixed"), ("SRC/b", "Excluded"), ("Src/EMPTY", "Excluded"), ("other", "Included")}
+
+
+def test_the_row_sink_writes_what_a_pack_holds(spark, corpus, tmp_path):
+    secret = "AKIA" + "IOSFODNN7EXAMPLE"
+    files = corpus({"a.txt": b"hello", "b.md": f"key {secret}".encode(), "z.txt": b"x\0y", "d.txt": b"mail a@mail.com"})
+    pack = prepare(files, RunSettings(scan_mode="Skip"))
+    L.write_records(pack.files, str(tmp_path / "rows"))
+    rows = {r.path: r for r in spark.read.json(str(tmp_path / "rows")).collect()}
+    assert {p: (r.content, r.is_binary, r.content_omitted, r.size) for p, r in rows.items()} == {
+        "a.txt": ("hello", False, False, 5), "b.md": ("", False, True, 24), "z.txt": ("", True, False, 3), "d.txt": ("mail [REDACTED:email-address]", False, False, 15)}
+    assert [f.rule_id for f in rows["d.txt"].report] == ["email-address"] and secret not in str(rows)
+    with pytest.raises(Exception, match="already exists|EXISTS"):
+        L.write_records(pack.files, str(tmp_path / "rows"))
