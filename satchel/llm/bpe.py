@@ -11,7 +11,12 @@ parameter; it is read on the driver and broadcast, being of a fixed, small size.
   that a decision needs (``Vocabulary.lookahead``).
 * **Streaming.**  A word is read into a window of fixed size.  Tokens that end at least
   that far before the window's end are stable and leave it; what is left is encoded anew
-  with what follows.  Memory is constant whatever the length of a word.
+  with what follows.  Every word passes through this transducer; answers of words of up to
+  ``BLOCK`` characters are remembered.
+* **Words.**  A long text is normalised and cut into words a slice at a time.  Slices end
+  where no character composes with what follows; a word that a slice's end cuts stays open
+  in its transducer.  Beyond the text itself and its ids, memory is constant, with or
+  without white space.
 * **Decoding** is a state machine fed with ids in pieces.  ``TokenText`` gives the tokens
   with a space between them, as a file without a decoder asks for; ``ByteText`` maps
   tokens back to bytes and these to text, holding back an unfinished character.
@@ -32,6 +37,7 @@ from array import array
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import cache
 from struct import pack
 
 import numpy as np
@@ -45,10 +51,10 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+"
 # Unicode white space, without U+001C to U+001F.
 WHITE = "[" + "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F,
                                 0x3000))) + "]+"
+#: Characters of the longest ending among the words.
+LONGEST_ENDING = 3
 #: Symbols of a window beyond the lookahead.
 BLOCK = 256
-#: Bytes of a word that is short: its tokens are found by fitting neighbours.
-SHORT = 48
 #: Entries of a worker's memory of words; it is emptied when full.
 MEMORY = 300_000
 #: Characters of a text, and ids, that are handled at once.
@@ -113,26 +119,9 @@ class Vocabulary:
         back = {c: b for b, c in enumerate(letters)}
         self.bytes = {i: (t.encode() if t in self.special else bytes(back[c] for c in t.removesuffix(WORD_END)) + b" " * t.endswith(WORD_END))
                       for t, i in self.ids.items()}
-        self.spelling = {x: (x,) for x in (*self.inner, *self.final)}
-        for a, b, c in listed:
-            self.spelling[c] = self.spelling[a] + self.spelling[b]
-        inner, final = {x: b for b, x in enumerate(self.inner)}, {x: b for b, x in enumerate(self.final)}
-        # Tokens by their bytes, as a tree: a node and a byte give the next node.
-        self.steps: dict[int, int] = {}
-        self.middle, self.end = [-1], [-1]
-        for i, spelled in self.spelling.items():
-            ended = spelled[-1] in final
-            at = 0
-            for x in spelled:
-                key = at << 8 | (final[x] if x in final else inner[x])
-                at = self.steps.get(key, -1)
-                if at < 0:
-                    at = self.steps[key] = len(self.middle)
-                    self.middle.append(-1)
-                    self.end.append(-1)
-            (self.end if ended else self.middle)[at] = i
-        self.fitting: dict[int, bool] = {}
         self.words, self.white = regex.compile(WORDS), re.compile(WHITE)
+        # Words that the next slice may continue, by whether they begin with a letter.
+        self.letters, self.others = regex.compile(r"\p{L}+"), regex.compile(r"[^\p{L}\p{N}]+")
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, list[int]] = {}
 
@@ -180,95 +169,80 @@ class Vocabulary:
                 heapq.heappush(heap, (m >> 32, i, m & _LOW, own[i], to))
         return [x for x in own if x is not None]
 
-    def _fits(self, before: int, token: int) -> bool:
-        """Whether the two tokens stay as they are when their text is encoded; ``before`` -1: the token alone."""
-        key = before << 32 | token
-        known = self.fitting.get(key)
-        if known is None:
-            if len(self.fitting) >= MEMORY:
-                self.fitting.clear()
-            alone = before < 0
-            merged = self.merge([*(() if alone else self.spelling[before]), *self.spelling[token]])
-            known = self.fitting[key] = merged == ([token] if alone else [before, token])
-        return known
-
-    def short(self, word: bytes) -> list[int]:
-        """The encoding of a short word: the only row of tokens in which all neighbours fit, longest tokens tried first."""
-        steps, middle, end, fitting = self.steps, self.middle, self.end, self.fitting
-        last, at, before, out = len(word) - 1, 0, -1, []
-        choices: list[list[tuple[int, int]]] = []
-        while True:
-            found, node = [], 0
-            for k in range(at, last + 1):
-                node = steps.get(node << 8 | word[k])
-                if node is None:
-                    break
-                token = middle[node] if k < last else end[node]
-                if token >= 0:
-                    found.append((token, k))
-            while True:
-                while found:
-                    token, k = found.pop()
-                    good = fitting.get(before << 32 | token)
-                    if self._fits(before, token) if good is None else good:
-                        break
-                else:
-                    found = choices.pop()
-                    out.pop()
-                    before = out[-1] if out else -1
-                    continue
-                break
-            out.append(token)
-            if k == last:
-                return out
-            choices.append(found)
-            before, at = token, k + 1
-
     def transduce(self, word: bytes) -> Iterator[list[int]]:
         """Encode one word of any length, in runs of stable tokens."""
-        held: list[int] = []
-        at, n = 0, len(word)
-        while at < n:
-            to = min(n, at + self.window - len(held))
-            held += map(self.inner.__getitem__, word[at:to])
-            at = to
-            if at == n:
-                held[-1] = self.final[word[-1]]
-                yield self.merge(held)
-                return
-            stable, out = 0, []
-            for token in self.merge(held):
-                if stable + self.length[token] > len(held) - self.lookahead:
-                    break
-                stable += self.length[token]
-                out.append(token)
-            yield out
-            del held[:stable]
+        open_word = Transducer(self)
+        yield from open_word.feed(word)
+        yield open_word.finish()
 
     def _normal(self, text: str) -> str:
         # Character by character: the lower-case sigma does not depend on its place.
         return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
+    def _parts(self, run: str) -> Iterator[str]:
+        """A run cut at strings of special tokens, which are parts of their own."""
+        at = 0
+        if self.cut and any(x in run for x in self.special):
+            for m in self.cut.finditer(run):
+                yield run[at:m.start()]
+                yield m.group()
+                at = m.end()
+        yield run[at:]
+
     def _run(self, run: str) -> Iterator[list[int]]:
         """A run without white space."""
-        for part in self.cut.split(run) if self.cut and any(x in run for x in self.special) else [run]:
+        for part in self._parts(run):
             if part in self.special:
                 yield [self.special[part]]
-                continue
-            for word in self.words.findall(self._normal(part)):
-                if len(word) > BLOCK:
-                    yield from self.transduce(word.encode())
+            elif len(part) > SLICE:
+                yield from self._long(part)
+            else:
+                for word in self.words.findall(self._normal(part)):
+                    if len(word) > BLOCK:
+                        yield from self.transduce(word.encode())
+                    else:
+                        yield self._word(word)
+
+    def _long(self, part: str) -> Iterator[list[int]]:
+        """The words of a part of any length, a slice at a time; the last word of a slice stays open."""
+        at, rest, going, word = 0, "", None, None
+        while at < len(part):
+            to = _composed_end(part, at + SLICE)
+            piece, at = rest + self._normal(part[at:to]), to
+            start, last = 0, at == len(part)
+            if word is not None:
+                m = going.match(piece)
+                start = m.end() if m else 0
+                yield from word.feed(piece[:start].encode())
+                if start == len(piece) and not last:
+                    rest = ""
                     continue
-                yield self._word(word)
+                yield word.finish()
+                word = None
+            rest = ""
+            for m in self.words.finditer(piece, start):
+                if last or m.end() < len(piece) and m.start() + LONGEST_ENDING <= len(piece):
+                    yield from [self._word(m.group())] if m.end() - m.start() <= BLOCK else self.transduce(m.group().encode())
+                elif m.start() + LONGEST_ENDING > len(piece) or not (going := self._going(m.group())):
+                    # What follows may make it another word; it waits for the next slice.
+                    rest = piece[m.start():]
+                    break
+                else:
+                    word = Transducer(self)
+                    yield from word.feed(m.group().encode())
+        if word is not None:
+            yield word.finish()
+
+    def _going(self, word: str):
+        """The pattern that goes on with a word at the end of a slice; None if it has a fixed length."""
+        return next((x for x in (self.letters, self.others) if x.fullmatch(word)), None)
 
     def _word(self, word: str) -> list[int]:
         ids = self.pieces.get(word)
         if ids is None:
             if len(self.pieces) >= MEMORY:
                 self.pieces.clear()
-            raw = word.encode()
-            ids = self.short(raw) if len(raw) <= SHORT else [x for stable in self.transduce(raw) for x in stable]
-            self.pieces[word] = ids
+            ids = self.pieces[word] = [x for stable in self.transduce(word.encode()) for x in stable]
         return ids
 
     def encode(self, text: str) -> Iterator[bytes]:
@@ -284,6 +258,11 @@ class Vocabulary:
             for run in runs:
                 ids = known.get(run)
                 if ids is None:
+                    if len(run) > SLICE:
+                        yield b"".join(out)
+                        out = []
+                        yield from map(_packed, self._run(run))
+                        continue
                     if len(run) > BLOCK:
                         out.extend(_packed(x) for x in self._run(run))
                         continue
@@ -297,6 +276,55 @@ class Vocabulary:
 _NEVER, _LOW = 1 << 62, (1 << 32) - 1
 
 
+class Transducer:
+    """One word, fed in pieces of bytes; gives runs of stable tokens."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.held, self.final = vocabulary, [], -1
+
+    def feed(self, piece: bytes) -> Iterator[list[int]]:
+        v, held, at, n = self.vocabulary, self.held, 0, len(piece)
+        if n:
+            self.final = v.final[piece[-1]]
+        while at < n:
+            if len(held) >= v.window:
+                # Something follows, so the window's symbols are all inner ones.
+                stable, out = 0, []
+                for token in v.merge(held):
+                    if stable + v.length[token] > len(held) - v.lookahead:
+                        break
+                    stable += v.length[token]
+                    out.append(token)
+                yield out
+                del held[:stable]
+            to = min(n, at + v.window - len(held))
+            held += map(v.inner.__getitem__, piece[at:to])
+            at = to
+
+    def finish(self) -> list[int]:
+        """The tokens of what is left; the last byte ends the word."""
+        if not self.held:
+            return []
+        self.held[-1] = self.final
+        return self.vocabulary.merge(self.held)
+
+
+@cache
+def _composing() -> frozenset[str]:
+    """Characters that may compose with the one before: ends of canonical decompositions, and Hangul vowels and finals."""
+    ends = (unicodedata.decomposition(chr(c)).split() for c in range(0xC0, 0x30000))
+    return frozenset([chr(int(x[-1], 16)) for x in ends if len(x) == 2 and not x[0].startswith("<")]
+                     + [chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))])
+
+
+def _composed_end(text: str, at: int) -> int:
+    """The first place from ``at`` on where normalising both sides apart changes nothing."""
+    while at < len(text) and not ((c := text[at]).isascii() or not unicodedata.combining(c)
+                                  and unicodedata.normalize("NFC", c) == c and c not in _composing()):
+        at += 1
+    return min(at, len(text))
+
+
 def _packed(ids: list[int]) -> bytes:
     return pack(f"<{len(ids)}I", *ids)
 

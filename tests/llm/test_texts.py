@@ -143,6 +143,42 @@ def test_long_words_stream_in_windows(both, unit):
     assert own.lookahead < 1000 and max(len(x) for x in own.transduce(unit.encode() * 3000)) <= own.window
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 11])
+def test_slices_of_any_size_give_the_same_tokens(both, monkeypatch, size):
+    """Words, endings, accents and special tokens that the ends of slices cut."""
+    own, library = both
+    monkeypatch.setattr(bpe, "SLICE", size)
+    rng = random.Random(size)
+    odd = ["a", "th", "ing", "'s", "'r", "e", "'", "é", "e\u0301", "\u0301", "Σ", "İ", "中", "9", "<|endoftext|>", "!!", "\u1112", "\u1161", "\u11ab", "한", "\U0001f600",
+           "\u0958", "\u0f71", "\u0f72", "\u212b", " ", "ß"]
+    for _ in range(1500):
+        text = "".join(rng.choice(odd) for _ in range(rng.randint(0, 30)))
+        own.known.clear()
+        assert ids(own, text) == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("unit", ["中文沒有空格", "x1", "lettersonly", "!=", "e\u0301'll"])
+def test_long_texts_without_white_space_leave_in_pieces(both, unit):
+    own, library = both
+    text = unit * (2 * bpe.SLICE // len(unit) + 3)
+    parts = list(own.encode(text))
+    assert np.frombuffer(b"".join(parts), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, parts)) <= 4 * own.window * 4
+
+
+def test_a_transducer_is_fed_in_pieces_of_any_size(both):
+    own, _ = both
+    raw = ("thein" * 900 + "aab" * 500).encode()
+    whole = own.merge([*map(own.inner.__getitem__, raw[:-1]), own.final[raw[-1]]])
+    for size in (1, 7, 1000, len(raw)):
+        word, out = bpe.Transducer(own), []
+        for k in range(0, len(raw), size):
+            for stable in word.feed(raw[k:k + size]):
+                out += stable
+            assert len(word.held) <= own.window
+        assert out + word.finish() == whole
+
+
 def test_decoding_in_pieces(both):
     own, library = both
     text = "Über naïve 😀 words, and MORE of them; " * 20
