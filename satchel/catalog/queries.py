@@ -602,7 +602,7 @@ def q_stream_type_counts(spark, d):
 
 
 def q_stream_rollup(spark, d):
-    return T.drain(T.running_rollup(_doc_stream(spark, d).drop("content")), "rollup", "complete")
+    return T.drain_rollup(_doc_stream(spark, d).drop("content"), "rollup")
 
 
 def q_stream_selection(spark, d):

@@ -6,6 +6,7 @@ job over the table (``plans.export``), never from a stream's state.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from satchel.functions import paths as P
@@ -14,6 +15,10 @@ from satchel.plans.session import scratch_path
 from satchel.plans.settings import RunSettings
 
 BATCH_FILES = 512
+#: Tables of one level of a running roll-up that are merged into one of the next.
+FAN = 8
+#: Bytes of override keys that are sent to every task.
+MOST_LOOKED_UP = 16 << 20
 
 
 def read_stream(
@@ -39,15 +44,21 @@ def once(stream: DataFrame, ingest_time: str | None = None, delay: str = "1 day"
     return keyed.withWatermark(ingest_time, delay).dropDuplicatesWithinWatermark(keys).drop("path_key")
 
 
+def stamped(stream: DataFrame, column: str = "ingest_time") -> DataFrame:
+    """Add the time at which a row's batch began: it never runs backwards, so no row is too late for a watermark."""
+    return stream.withColumn(column, F.current_timestamp())
+
+
 def running_types(stream: DataFrame, extensions, dot_files) -> DataFrame:
     """Counts per type so far."""
     return rollup.type_counts(stream, extensions, dot_files)
 
 
 def running_rollup(stream: DataFrame) -> DataFrame:
-    """Files, bytes and tokens per directory so far.
+    """Files, bytes and tokens per directory so far, for trees that are small.
 
-    One streaming aggregate: partial sums per task keep the shuffle small.
+    A streaming aggregate, whose state and (in complete mode) answer hold every
+    directory; :func:`start_rollup` writes what a batch changes only.
     """
     return (
         stream.select(
@@ -57,27 +68,118 @@ def running_rollup(stream: DataFrame) -> DataFrame:
     )
 
 
+#: Columns of a table of sums.
+ROLLUP = "corpus string, directory string, files bigint, text_bytes bigint, tokens bigint"
+
+
+def _merged(deltas: DataFrame) -> DataFrame:
+    """One row per directory of several deltas, spelled as the first of its spellings."""
+    sums = ("files", "text_bytes", "tokens")
+    return (
+        deltas.groupBy("corpus", P.path_key("directory").alias("__key"))
+        .agg(F.min("directory").alias("directory"), *[F.sum(n).alias(n) for n in sums])
+        .drop("__key")
+    )
+
+
+def _runs(out: str, batches: int) -> list[str]:
+    """The fewest tables that hold what the first ``batches`` batches added, each once."""
+    found, level = [], 0
+    while batches:
+        found += [f"{out}/level-{level}/run-{k}" for k in range(batches // FAN * FAN, batches)]
+        batches, level = batches // FAN, level + 1
+    return found
+
+
+def start_rollup(
+    stream: DataFrame, out: str, checkpoint: str, ingest_time: str | None = None, delay: str = "1 day", **trigger
+):
+    """Keep sums per directory below ``out`` while files arrive; :func:`read_rollup` reads them.
+
+    A batch writes one row for each directory that it touches, and nothing else: there
+    is no state of directories.  Every ``FAN`` tables of a level are merged into one of the
+    next by the batch that completes them, so a row is rewritten once per level and readers
+    meet few tables.  All names follow from batch numbers: a batch repeated after a failure
+    replaces what it wrote.  With ``ingest_time`` each path counts once (:func:`once`), and
+    no path is remembered for longer than ``delay``; :func:`stamped` gives such a column.
+    """
+    spark = stream.sparkSession
+
+    def save(batch: DataFrame, number: int) -> None:
+        rollup.contributions(batch).write.mode("overwrite").parquet(f"{out}/level-0/run-{number}")
+        level, done = 1, number + 1
+        while done % FAN == 0:
+            done //= FAN
+            parts = [f"{out}/level-{level - 1}/run-{k}" for k in range((done - 1) * FAN, done * FAN)]
+            _merged(spark.read.schema(ROLLUP).parquet(*parts)).write.mode("overwrite").parquet(f"{out}/level-{level}/run-{done - 1}")
+            level += 1
+
+    files = stream if ingest_time is None else once(stream, ingest_time, delay)
+    writer = files.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def read_rollup(spark: SparkSession, out: str, checkpoint: str) -> DataFrame:
+    """Files, bytes and tokens per directory, of the batches that are finished."""
+    done = committed_batches(spark, checkpoint)
+    if not done:
+        return spark.createDataFrame([], ROLLUP)
+    return _merged(spark.read.schema(ROLLUP).parquet(*_runs(out, done[-1] + 1)))
+
+
+def drain_rollup(stream: DataFrame, label: str, ingest_time: str | None = None) -> DataFrame:
+    """The sums per directory when everything present has been read."""
+    spark = stream.sparkSession
+    out, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
+    start_rollup(stream, out, checkpoint, ingest_time, availableNow=True).awaitTermination()
+    return read_rollup(spark, out, checkpoint)
+
+
 def inherit_choice(stream: DataFrame, overrides: DataFrame, default: Column) -> DataFrame:
-    """Late files take the choice of their nearest ancestor; no state.
+    """Late files take the choice of their nearest ancestor, or their own; no state.
 
-    One left join per level up to the deepest override, each an equi-join with the
-    static table.  The number of levels is read from the overrides.
+    Overrides whose keys take at most ``MOST_LOOKED_UP`` bytes are sent to the tasks, which
+    look a path and its ancestors up, nearest first, in one pass.  More of them are joined,
+    with one equi-join for each depth that occurs among them; both answer alike.  Of
+    overrides that repeat a path, one that excludes counts.  Files without corpus or path,
+    and overrides without corpus, path or choice, meet nothing.
     """
-    keyed = overrides.select(
-        "corpus", P.path_key(P.normalize("path")).alias("__key"), F.col("included").alias("__inc"))
-    deepest = keyed.agg(F.max(P.depth("__key"))).first()[0]
-    if deepest is None:
+    keyed = (
+        overrides.filter("corpus IS NOT NULL AND path IS NOT NULL AND included IS NOT NULL")
+        .groupBy("corpus", P.path_key(P.normalize("path")).alias("__key")).agg(F.min("included").alias("__inc")))
+    size = keyed.agg(F.sum(F.octet_length("corpus") + F.octet_length("__key"))).first()[0]
+    if size is None:
         return stream.withColumn("included", default)
-    out = stream.withColumn("__parts", P.segments(P.path_key(P.normalize("path"))))
-    found = []
-    for level in range(deepest, -1, -1):
+    key = P.path_key(P.normalize("path"))
+    if size <= MOST_LOOKED_UP:
+        table = stream.sparkSession.sparkContext.broadcast({(r[0], r[1]): r[2] for r in keyed.toLocalIterator()})
+        return stream.withColumn("included", F.coalesce(_look_up(table)("corpus", key), default))
+    depth = F.when(F.col("__key") == "", 0).otherwise(P.depth("__key"))
+    # A path has few levels, however many overrides there are.
+    levels = sorted((r[0] for r in keyed.select(depth).distinct().collect()), reverse=True)
+    out, found = stream.withColumn("__parts", P.segments(key)), []
+    for level in levels:
         name = f"__inc{level}"
-        key = F.when(F.size("__parts") >= level, F.array_join(F.slice("__parts", 1, level), "/")) if level else F.lit("")
-        out = out.withColumn("__key", key).join(
-            keyed.withColumnRenamed("__inc", name), ["corpus", "__key"], "left").drop("__key")
+        above = F.when(F.size("__parts") >= level, F.array_join(F.slice("__parts", 1, level), "/")) if level else F.when(F.col("path").isNotNull(), "")
+        out = out.withColumn("__key", above).join(
+            keyed.where(depth == level).withColumnRenamed("__inc", name), ["corpus", "__key"], "left").drop("__key")
         found.append(F.col(name))
-    return out.withColumn("included", F.coalesce(*found, default)).drop(
-        "__parts", *[f"__inc{level}" for level in range(deepest + 1)])
+    return out.withColumn("included", F.coalesce(*found, default)).drop("__parts", *[f"__inc{level}" for level in levels])
+
+
+def _look_up(table):
+    """The choice of a key or of its nearest ancestor that has one, in a broadcast dict."""
+
+    def choose(corpus: pa.Array, key: pa.Array) -> pa.Array:
+        known, out = table.value, []
+        for c, k in zip(corpus.to_pylist(), key.to_pylist()):
+            found = None
+            while k is not None and found is None:
+                found, k = known.get((c, k)), k.rpartition("/")[0] if k else None
+            out.append(found)
+        return pa.array(out, pa.bool_())
+
+    return F.arrow_udf(choose, "boolean")
 
 
 def running_findings(stream: DataFrame, settings: RunSettings = RunSettings()) -> DataFrame:
