@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -161,15 +163,20 @@ def prune_by_rule_table(
     return outside(kept, pruned_directories_by_lists(entries, lists, exclude_regex))
 
 
-def changed_only(entries: DataFrame, changes: DataFrame | None) -> DataFrame:
-    """Changed files and the directories above them; no change set means no filter."""
+def changed_only(
+    entries: DataFrame, changes: DataFrame | None, holders: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Changed files and the directories above them; no change set means no filter.
+
+    ``holders`` names the changed files whose directories stay; by default all do.
+    """
     if changes is None:
         return entries
     keys = changes.select("corpus", P.path_key("path").alias("path_key")).distinct()
     keyed = entries.withColumn("path_key", P.path_key("path"))
     files = keyed.filter(~F.col("is_dir")).join(keys, ["corpus", "path_key"], "left_semi")
     above = (
-        directories(files.select("corpus", "path"))
+        directories((holders(files) if holders else files).select("corpus", "path"))
         .select("corpus", P.path_key("path").alias("path_key"))
         .distinct()
     )

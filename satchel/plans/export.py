@@ -18,12 +18,20 @@ class Selection:
     """Choices of one run that are not settings.
 
     ``overrides``: ``corpus, path, included``; ``types``: ``corpus, type_kind,
-    type_value`` taken when given; ``mode`` stands in for the mode of the settings.
+    type_value`` taken when given; ``mode`` stands in for the mode of the settings.  ``item``
+    is the path of one file picked by hand: its siblings are not listed and a minified name
+    does not keep it out.
     """
 
     overrides: DataFrame | None = None
     types: DataFrame | None = None
     mode: str | None = None
+    item: str | None = None
+
+    @property
+    def of_content(self) -> bool:
+        """Whether content was chosen by hand."""
+        return self.overrides is not None or self.types is not None or self.mode is not None
 
 
 def listing_of(corpus: DataFrame) -> DataFrame:
@@ -80,7 +88,8 @@ def candidates(entries: DataFrame, s: RunSettings, selection_: Selection = Selec
     if selection_.overrides is not None:
         files = selection.nearest_override(files, selection_.overrides, F.col("__wanted"))
         files = files.withColumn("__wanted", F.col("included")).drop("included")
-    keep = F.col("__wanted") & ~P.is_minified(p) & R.included(p, R.compile_rules(s.include_globs))
+    minified = P.is_minified(p) if selection_.item is None else F.lit(False)
+    keep = F.col("__wanted") & ~minified & R.included(p, R.compile_rules(s.include_globs))
     if output:
         keep = keep & (P.path_key(p) != output.upper())
     return files.filter(keep).drop("__wanted")
@@ -151,6 +160,17 @@ def observed(finished: DataFrame, observation: Observation | None) -> DataFrame:
         F.count_if(good & F.col("content_omitted")).alias("omitted"), F.count_if("undecodable").alias("undecodable"))
 
 
+def skipped_item(listing: DataFrame, legible: DataFrame) -> DataFrame:
+    """``corpus, path, skip_reason`` of a chosen file that is not packed; one row per corpus at most.
+
+    ``legible``: the file if rules and types let it pass, with ``changed``.
+    """
+    judged = listing.filter(~F.col("is_dir")).select("corpus", "path").join(
+        legible.select("corpus", "path", "changed"), ["corpus", "path"], "left")
+    reason = F.when(F.col("changed").isNull(), "not legible").when(~F.col("changed"), "unchanged")
+    return judged.select("corpus", "path", reason.alias("skip_reason")).filter("skip_reason IS NOT NULL")
+
+
 def prepare(
     corpus: DataFrame,
     settings: RunSettings,
@@ -165,11 +185,20 @@ def prepare(
 
     ``observation`` receives counts of the body pass while it runs: ``files``, ``bytes``, ``tokens``,
     ``findings``, ``omitted``, ``undecodable``; with a listener they are a run's progress.
+
+    Of a run over a single item only that file is listed and read; a corpus without it is not
+    part of the run, and ``FileNotFoundError`` tells that none has it.
     """
     # Paths that differ in case only are two files.
     clean = corpus.withColumn("path", P.normalize("path"))
+    if selection_.item is not None:
+        clean = clean.filter(F.col("path") == P.normalize(F.lit(selection_.item)))
+        if "is_dir" in clean.columns:
+            clean = clean.filter("NOT is_dir")
     # Paths only, read by several joins: kept as a narrow table.
     listing = stage(listing_of(clean), "listing")
+    if selection_.item is not None and listing.isEmpty():
+        raise FileNotFoundError(selection_.item)
     keep = exclusion(corpus, listing, settings)
     entries = keep(listing)
     rows = clean if "is_dir" in clean.columns else clean.withColumn("is_dir", F.lit(False))
@@ -179,8 +208,18 @@ def prepare(
     unread = keep(rows.filter(F.col("error").isNotNull() | (~F.col("is_dir") & F.col("content").isNull()))).select(
         "corpus", "path", F.coalesce("error", F.lit("has no content")).alias("reason"))
     rows = keep(rows.filter(~F.col("is_dir") & F.col("content").isNotNull() & F.col("error").isNull()).drop("error"))
+    skipped = None
+    if selection_.item is not None:
+        # Directories were needed for the rules only.
+        entries = entries.filter(~F.col("is_dir"))
+        legible = candidates(entries, settings, selection_)
+        moved = I.changed_only(legible, changes) if settings.only_changed and changes is not None else legible
+        skipped = stage(skipped_item(listing, legible.select("corpus", "path").join(
+            moved.select("corpus", "path", F.lit(True).alias("changed")), ["corpus", "path"], "left").na.fill(False)), "skipped")
     if settings.only_changed and changes is not None:
-        entries, rows = I.changed_only(entries, changes), I.changed_only(rows, changes)
+        # A choice made by hand is about content: the directories of all that changed are listed.
+        holders = None if selection_.of_content else lambda files: candidates(files, settings, selection_)
+        entries, rows = I.changed_only(entries, changes, holders), I.changed_only(rows, changes)
     entries = stage(entries, "entries")
     # Selection runs on the rows that hold the bodies, which meet small tables only.
     by_type = selection_.overrides is None and (selection_.mode or settings.selection_mode) == "Basic"
@@ -199,7 +238,7 @@ def prepare(
         entries = entries.filter(~F.col("is_dir")).unionByName(
             I.directories(entries.filter(~F.col("is_dir"))).select(
                 "corpus", "path", F.lit(True).alias("is_dir"), F.lit(0).cast("bigint").alias("size")))
-    return L.Pack(entries, files, errors, commits, listing.select("corpus"))
+    return L.Pack(entries, files, errors, commits, listing.select("corpus"), skipped)
 
 
 def export(
@@ -209,21 +248,27 @@ def export(
     decision: str = "Keep",
     **options,
 ) -> DataFrame | None:
-    """Write a pack below ``path``, which must not exist.
+    """Write a pack below ``path``, which must not exist; returns the result, one row per corpus.
 
-    ``decision`` answers the review of a Warn run: Cancel writes nothing and
-    returns None, Redact hides all findings, Keep leaves automatic ones.
+    ``decision`` answers the review of a Warn run that has something to review: Cancel
+    writes nothing and returns None, Redact hides all findings, Keep leaves automatic ones.
+    The result holds what the headers count (files, bytes, tokens, findings, files with
+    findings, omitted bodies, unreadable files), ``over_budget`` and the ``scan_mode`` that took effect.
     """
-    if settings.scan_mode == "Warn" and decision == "Redact":
-        settings = replace(settings, scan_mode="Redact")
-    elif decision not in ("Keep", "Redact", "Cancel"):
+    if decision not in ("Keep", "Redact", "Cancel"):
         raise ValueError(f"Unknown decision: {decision}")
+    reviewed = settings.scan_mode == "Warn"
+    redacted = replace(settings, scan_mode="Redact") if reviewed and decision == "Redact" else settings
     with scratch(corpus.sparkSession, "export"):
-        pack = prepare(corpus, settings, **options)
-        if settings.scan_mode == "Warn" and decision == "Cancel":
-            if not V.review_items_of(pack.files).isEmpty():
+        pack = prepare(corpus, redacted, **options)
+        if reviewed and decision != "Keep":
+            nothing = V.review_items_of(pack.files).isEmpty()
+            if decision == "Cancel" and not nothing:
                 return None
+            # Bodies without findings are the same in both modes; the report names the mode.
+            settings = settings if nothing else redacted
         L.write_pack(L.render(pack, settings), path)
-        sums = L.totals(pack)
+        over = (F.col("n_tokens") > settings.max_tokens) if settings.max_tokens > 0 else F.lit(False)
+        sums = L.totals(pack).withColumn("over_budget", over).withColumn("scan_mode", F.lit(settings.scan_mode))
         # One row per corpus; the staged tables it came from go now.
         return corpus.sparkSession.createDataFrame(sums.collect(), sums.schema)
