@@ -590,7 +590,8 @@ def q_review_items(spark, d):
 
 def _doc_stream(spark, d) -> DataFrame:
     schema = K.table(spark, d, "documents").schema
-    raw = T.read_stream(spark, d, schema, glob="documents.parquet")
+    # A table is one file or a folder of files; a pattern may stand for either.
+    raw = T.read_stream(spark, f"{d}/documents.parque[t]", schema)
     files = K.as_files(
         raw, "docs", K.doc_path(F.col("doc_id"), F.col("source"), F.col("lang")), F.col("text"), "doc_id")
     return _weighed(files)
